@@ -7,12 +7,12 @@ How the links are found:
 
 1. Documents with equal sets become one class, represented by its smallest id (a hash
    aggregate with map-side combine, so thousands of copies cost one row each map task).
-2. Each class gets a signature of CHUNKS x WIDTH b-bit minima.  The signature is split
-   into CHUNKS chunks.  Two signatures that differ in fewer than ``CHUNKS * (ERRORS + 1)``
+2. Each class gets a signature of PLACES b-bit minima.  Its first CHUNKS x WIDTH places are
+   split into CHUNKS chunks.  Two that differ there in fewer than ``CHUNKS * (ERRORS + 1)``
    places have, by the pigeonhole principle, a chunk with at most ERRORS differing places;
    the allowed errors are enumerated by leaving out each choice of ERRORS places, so each
    such pair shares a key.  At a similarity of exactly 0.75 a pair without a common key has
-   a probability of about 5e-8; every key's whole bucket is used, whatever its size.
+   a probability of about 4e-8 (0.367 ** 17); every key's whole bucket is used, whatever its size.
 3. The members of the buckets with the same smallest member form a group: (group, member)
    rows are a few per near copy, and two documents that share a key share a group.  Each
    member is compared with a few leaders of its group (linear in the group), the links
@@ -37,17 +37,19 @@ from .common import Memo, arrow_map, documents, durable
 
 WORDS = 5
 PERCENT = 75
-CHUNKS = 22
-WIDTH = 6
+CHUNKS = 17
+WIDTH = 5
 #: Places that may differ within the chunk that the pigeonhole principle promises.
 ERRORS = 1
-#: Two bits of each of the first 128 places.  Of these 256 bits, pairs at a similarity of 0.75
+#: Two bits of each place.  Of these 256 bits, pairs at a similarity of 0.75
 #: differ in 32 on average (deviation 6.4), so that 74 is over six deviations off.
 SKETCHES = ("s0", "s1", "s2", "s3")
 SKETCH_APART = 74
 #: Members of a group, besides its smallest, with which all its members are compared first.
 LEADERS = 4
-PLACES = CHUNKS * WIDTH
+PLACES = 128
+#: Up to so many ids (8 bytes each) are broadcast to find their texts; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 
 _U = np.uint64
 
@@ -94,18 +96,23 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def keys(signatures: np.ndarray) -> np.ndarray:
     """Rows of signatures -> rows of bucket keys: each chunk without each choice of ERRORS (one) places."""
-    v = signatures.reshape(-1, CHUNKS, WIDTH).astype(np.uint64) + _U(1)
-    part = v * _constants(PLACES, 14).reshape(CHUNKS, WIDTH)
-    out = part.sum(axis=2, dtype=np.uint64)[:, :, None] - part + _constants(PLACES, 15).reshape(CHUNKS, WIDTH)
-    return _mix(out).reshape(len(v), PLACES).view(np.int64)
+    n = CHUNKS * WIDTH
+    v = signatures[:, :n].reshape(-1, CHUNKS, WIDTH).astype(np.uint64) + _U(1)
+    part = v * _constants(n, 14).reshape(CHUNKS, WIDTH)
+    out = part.sum(axis=2, dtype=np.uint64)[:, :, None] - part + _constants(n, 15).reshape(CHUNKS, WIDTH)
+    return _mix(out).reshape(len(v), n).view(np.int64)
 
 
 def sketches(signatures: np.ndarray) -> np.ndarray:
-    """Two bits of each of the first 128 places, in four longs."""
-    bits = np.concatenate([(signatures[:, :128] >> k & 1).astype(np.uint8) for k in (0, 1)], axis=1)
+    """Two bits of each place, in four longs."""
+    bits = np.concatenate([(signatures >> k & 1).astype(np.uint8) for k in (0, 1)], axis=1)
     return np.packbits(bits, axis=1).view(np.int64).reshape(-1, len(SKETCHES))
 
 
+def _identity(s: np.ndarray) -> tuple[int, int]:
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist())
+
+
 def _sets(df: DataFrame, words: int) -> DataFrame:
     """doc_id -> its set's identity, size, signature and sketch."""
 
@@ -116,10 +123,10 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 s = shingles(text, memo, words)
                 n.append(len(s))
-                ids.append(xxhash.xxh3_128_digest(s.tobytes()))
+                ids.append(_identity(s))
                 sigs.append(signature(s))
             sigs = np.array(sigs, np.uint16).reshape(-1, PLACES)
-            bits, key = sketches(sigs), np.frombuffer(b"".join(ids), np.int64).reshape(-1, 2)
+            bits, key = sketches(sigs), np.array(ids, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(np.array(n, np.int64)), pa.array([x.tobytes() for x in sigs], pa.binary()), *(pa.array(x.copy()) for x in bits.T)], ["doc_id", "set0", "set1", "n_shingles", "sig", *SKETCHES])
 
     return df.mapInArrow(run, "doc_id long, set0 long, set1 long, n_shingles long, sig binary, " + ", ".join(f"{x} long" for x in SKETCHES))
@@ -129,7 +136,7 @@ def _keys(classes: DataFrame) -> DataFrame:
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         sigs = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, PLACES)
         k = keys(sigs)
-        return pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), PLACES))], ["key", "rep"])
+        return pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), k.shape[1]))], ["key", "rep"])
 
     return arrow_map(classes.select("rep", "sig"), f, "key long, rep long")
 
@@ -138,9 +145,11 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
         memo = _word_memo()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, memo, words).view(np.int64) for t in batch.column(1).to_pylist()], pa.list_(pa.int64()))], ["rep", "hashes"])
+            every = [shingles(t, memo, words) for t in batch.column(1).to_pylist()]
+            key = np.array([_identity(s) for s in every], np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([s.view(np.int64) for s in every], pa.list_(pa.int64()))], ["rep", "set0", "set1", "hashes"])
 
-    return docs.mapInArrow(run, "rep long, hashes array<long>")
+    return docs.mapInArrow(run, "rep long, set0 long, set1 long, hashes array<long>").dropDuplicates(["rep", "set0", "set1"])
 
 
 def _linked(percent: int) -> F.Column:
@@ -182,19 +191,26 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
     component_id is the smallest doc_id reachable over links, kept marks that row.  A null
     or empty text has no shingles and is linked with nothing; fewer than ``words`` words
-    make one shingle of the whole sequence.  Rows that repeat a doc_id are each returned;
-    where their texts differ, each counts as a text of that doc_id, and only one of the
-    linked sets' ids survives.  Other columns are ignored.
+    make one shingle of the whole sequence.  Rows that repeat a doc_id are each returned, with
+    their own n_shingles; where their texts differ, links count for the doc_id's set with the
+    smallest identity.  Other columns are ignored; an empty table gives no rows.
     """
     docs = documents(docs)
-    sets = durable(_sets(docs, words))
+    every = sets = durable(_sets(docs, words))
+    rows = sets.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    if rows.n != rows.ids:
+        rest = [c for c in sets.columns if c != "doc_id"]
+        sets = durable(sets.groupBy("doc_id").agg(F.min(F.struct("set0", "set1", *rest[2:])).alias("s")).select("doc_id", "s.*"))
     classes = durable(sets.where("n_shingles > 0").groupBy("set0", "set1").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(y) for x, y in (("n_shingles", "n"), ("sig", "sig"), *((s, s) for s in SKETCHES)))))
-    many = _keys(classes).groupBy("key").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where("first != last").select("key", "first")
-    groups = durable(_keys(classes).join(many, "key").select("first", "rep").distinct())
+    lowest = _keys(classes).groupBy("key").agg(F.min("rep").alias("first"))
+    pairs = _keys(classes).join(lowest, "key").where("first != rep")
+    groups = durable(pairs.select("first", F.explode(F.array("rep", "first")).alias("rep")).distinct())
 
-    wanted = groups.select("rep").distinct()
-    sets_of = _full_sets(docs.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]), words)
-    members = durable(groups.join(classes.select("rep", "n", *SKETCHES), "rep").join(sets_of, "rep"))
+    wanted = durable(groups.select(F.col("rep").alias("doc_id")).distinct())
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    sets_of = _full_sets(docs.join(wanted, "doc_id", "left_semi"), words)
+    members = durable(groups.join(classes.select("rep", "set0", "set1", "n", *SKETCHES).join(sets_of, ["rep", "set0", "set1"]).drop("set0", "set1"), "rep"))
 
     places = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
     leaders = groups.groupBy("first").agg(*places).select("first", F.explode(F.array("first", *(f"l{k}" for k in range(LEADERS)))).alias("rep")).distinct()
@@ -210,6 +226,8 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
     ends = classes.select("set0", "set1", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set0", "set1", F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", "set0", "set1", "n_shingles").join(ends, ["set0", "set1"], "left")
+    if every is not sets:
+        out = every.select("doc_id", "n_shingles").join(out.drop("n_shingles"), "doc_id")
     own = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
 
