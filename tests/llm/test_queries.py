@@ -1,0 +1,325 @@
+"""The registered queries against brute force over a whole small table, and edge cases of every operator."""
+
+import hashlib
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from sphaera.llm import fingerprints, licenses, neardup, packing, quality, queries, rules, secrets, tokens, unigram, warc
+from tokenizers import Tokenizer
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+@pytest.fixture(scope="module")
+def texts(spark, sf_dir):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+
+
+def rows(spark, sf_dir, name):
+    return {r.doc_id: r for r in queries.QUERIES[name](spark, sf_dir).collect()}
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def shingle_set(text):
+    w = WORDS.findall(lower(text))
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def linked_components(sets):
+    """By every pair that shares a shingle."""
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            c = len(sets[i] & sets[j])
+            if c and 100 * c >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in ids}
+
+
+def test_op1(spark, sf_dir, texts):
+    assign = re.compile(r"([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+    got = rows(spark, sf_dir, "op1_secret_scan")
+    for i, text in texts.items():
+        spans = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m[2]) >= 6]
+        spans += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]
+        base = ",".join(f"{('assign', 'access', 'hex')[k]}:{a}:{b}" for a, k, b in sorted(spans))
+        n = Counter(k for _, k, _ in spans)
+        r = got[i]
+        assert (r.n_assign, r.n_access, r.n_hex) == (n[0], n[1], n[2]) and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+
+
+def test_op2(spark, sf_dir, texts):
+    got = rows(spark, sf_dir, "op2_near_duplicates")
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    want = linked_components(sets)
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(sets[i]), c, c == i) for i, c in want.items()}
+
+
+def test_op3(spark, sf_dir, texts):
+    t = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    got = rows(spark, sf_dir, "op3_token_counts")
+    for i, text in texts.items():
+        n = len(t.encode(text, add_special_tokens=False).ids)
+        assert (got[i].n_bytes, got[i].n_tokens, got[i].over_limit) == (len(text.encode()), n, n > 512)
+
+
+@pytest.mark.parametrize("text", ["", "a  b", " lead", "x \n y\n\n z ", "a<|endoftext|> b", "don't  it's", "日本 語　全角 空", "tab\t tab", "end  ", "\x1c \x1c a", "w" * 5000, "á ́b"])
+def test_tokens_of_odd_texts(text):
+    t = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
+    lengths = tokens._lengths(queries.tokenizer_path("byte_bpe_50k.json"))
+    assert "".join(tokens.parts(text)) == text
+    assert sum(lengths.values(tokens.parts(text))) == len(t.encode(text, add_special_tokens=False).ids)
+
+
+@pytest.mark.parametrize("text", ["", "Ab, aB. AB", "a!, b.", "ΣΑΣ, σας.", "İstanbul, İ", "don't, it's.", "x\x1cy \x1c", "1,2. 3,", "<|endoftext|>, a", "Straße. ﬁn,", "é, ́."])
+def test_ids_of_odd_texts(text):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [1]
+    assert np.frombuffer(packing.document_ids(text, packing._ids(path)), "<u4").tolist() == want
+
+
+def test_op4(spark, sf_dir, texts):
+    t = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    ids = {i: np.array(t.encode(x, add_special_tokens=False).ids + [1], "<u4") for i, x in texts.items()}
+    pieces = queries.op4_packing(spark, sf_dir).collect()
+    total = Counter()
+    for p in pieces:
+        assert p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes()) and p.doc_tokens == len(ids[p.doc_id])
+        total[p.doc_id] += p.length
+    assert total == {i: len(x) for i, x in ids.items()}
+    spans = sorted((p.doc_id, p.start, p.start + p.length) for p in pieces)
+    assert all(a[0] != b[0] or a[2] == b[1] for a, b in zip(spans, spans[1:]))
+    used = {}
+    for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+        assert used.get(p.sequence_id, 0) == p.offset
+        used[p.sequence_id] = p.offset + p.length
+    assert max(used.values()) <= 2048 and sum(2048 - n for n in used.values()) < 0.05 * sum(used.values())
+
+
+def test_op5(spark, sf_dir, texts):
+    got = rows(spark, sf_dir, "op5_license_scan")
+    for i, text in texts.items():
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(text))
+        at = [(k, label) for phrase, label in licenses.BASE for k in range(len(w)) if w[k : k + len(phrase.split())] == phrase.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base) == (len(w), len(at))
+        assert (r.first_word, r.last_word) == ((min(at)[0], max(at)[0]) if at else (None, None))
+        assert r.base_labels == ",".join(sorted({x for _, x in at})) and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+        assert 0 <= r.score <= 1 and (r.score == 0) == (r.labels == "")
+
+
+def test_op5_places(spark):
+    texts = ["under the MIT license under the mit license", "cc-by-nc", "x under the mit license, Apache License, Version 2.0! cc by nc y", "This work is licensed under the GNU General Public License, version 3.", "gnu gnu mit", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in licenses.scan(docs).collect()}
+    assert got[0] == (8, 2, 0, 4, "mit", "mit") and got[1] == (3, 1, 0, 0, "cc-by-nc", "cc-by-nc")
+    assert got[2] == (14, 3, 1, 10, "apache-2,cc-by-nc,mit", "apache-2,cc-by-nc,mit")
+    assert got[3][4:] == ("", "gpl-3") and got[4] == (3, 0, None, None, "", "") and got[5] == got[6] == (0, 0, None, None, "", "")
+
+
+def test_op6(spark, sf_dir, texts):
+    model = unigram.Unigram.from_model(queries.tokenizer_path("piece_bpe_32k.model"))
+    memo = model.memo()
+    for i, r in rows(spark, sf_dir, "op6_sentencepiece").items():
+        assert r.round_trip and r.ids_crc32 == zlib.crc32(model.encode(texts[i], memo).tobytes())
+
+
+def test_op7(spark, sf_dir):
+    got = rows(spark, "/root/testdata/sf0.01", "op7_quality_classifier")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    held = [i for i in labels if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert {i for i in got if got[i].held_out} >= set(held)
+    assert sum(got[i].predicted == labels[i] for i in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got.values())
+
+
+def test_gam_finds_an_interaction():
+    rng = np.random.default_rng(5)
+    x = np.zeros((4000, len(quality.FEATURES)))
+    x[:, :2] = rng.random((4000, 2))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    model = quality.fit(x[:3000], y[:3000])
+    assert ((model.score(x[3000:]) > 0.5) == y[3000:]).mean() > 0.9
+
+
+def weighted_jaccard(a, b):
+    a, b = Counter(WORDS.findall(a)), Counter(WORDS.findall(b))
+    return sum((a & b).values()) / max(1, sum((a | b).values()))
+
+
+def test_op8(spark, sf_dir, texts):
+    got = rows(spark, sf_dir, "op8_fingerprints")
+    ids = sorted(texts)
+    off = []
+    for k, i in enumerate(ids):
+        text, after = texts[i], texts[ids[(k + 1) % len(ids)]]
+        n = len(text) // 4
+        edited = text[: len(text) - n] + after[:n]
+        r = got[i]
+        assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        off += [r.near_edited - weighted_jaccard(text, edited), r.near_next - weighted_jaccard(text, after)]
+    same = Counter((texts[i], got[i].fingerprint) for i in ids)
+    assert len(same) == len(set(texts.values()))
+    off = np.array(off)
+    assert abs(off.mean()) < 0.02 and np.sqrt((off**2).mean()) < 0.6 / np.sqrt(fingerprints.SAMPLES)
+
+
+def test_op9(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r.page_id: r for r in queries.op9_warc_fixity(spark, sf_dir).collect()}
+    at = 0
+    for p in sorted(pages.collect(), key=lambda p: p.page_id):
+        body = p.html.encode()
+        data = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{p.page_id}>\r\nWARC-Target-URI: {p.url}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+        r = got[p.page_id]
+        assert (r.warc_offset, r.length, r.sha256) == (at, len(data), hashlib.sha256(data).hexdigest())
+        assert r.intact == (p.page_id % 97 != 7 and p.page_id % 193 != 11)
+        at += len(data)
+    assert sorted(map(tuple, warc.read_files(warc.files(pages)).collect())) == sorted((p.page_id, p.url, p.html) for p in pages.collect())
+    whole = warc.tree(pages)
+    assert warc.audit(whole, warc.tree(pages)).count() == 0
+
+
+def test_op10(spark, sf_dir, texts):
+    got = rows(spark, sf_dir, "op10_quality_rules")
+    for i, text in texts.items():
+        w = WORDS.findall(text)
+        seen, lines = set(), 0
+        for line in text.split("\n"):
+            lines += bool(WORDS.search(line)) and line in seen
+            seen.add(line)
+        count = Counter(tuple(w[k : k + 3]) for k in range(len(w) - 2))
+        covered = {k + d for k in range(len(w) - 2) if count[tuple(w[k : k + 3])] > 1 for d in range(3)}
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), lines, len(covered))
+        assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_rules_keep_clean_documents(spark):
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    got = rows(spark, "/root/testdata/sf0.01", "op10_quality_rules")
+    clean = [got[i] for i, q in labels.items() if q and not got[i].base_failed]
+    assert all(r.kept for r in clean)
+
+
+def edge_cases(spark):
+    return spark.createDataFrame(
+        [(1, None, "a", None), (1, None, "a", None), (2, "", "b", 1), (3, "word " * 30000, None, 2), (4, "same text here", "c", 3), (4, "same text here", "c", 3), (5, "same text here", "d", 4)],
+        "doc_id long, text string, source string, n_tokens long",
+    )
+
+
+@pytest.mark.parametrize(
+    "operator",
+    [
+        secrets.scan,
+        neardup.near_duplicates,
+        lambda d: tokens.token_counts(d, queries.tokenizer_path("byte_bpe_50k.json")),
+        licenses.scan,
+        lambda d: unigram.encode_documents(d, queries.tokenizer_path("piece_bpe_32k.model")),
+        lambda d: quality.score(d, quality.fit(np.zeros((0, len(quality.FEATURES))), np.zeros(0))),
+        rules.measures,
+    ],
+)
+def test_nulls_repeats_and_no_rows(spark, operator):
+    docs = edge_cases(spark)
+    got = operator(docs).collect()
+    assert Counter(r.doc_id for r in got) == {1: 2, 2: 1, 3: 1, 4: 2, 5: 1}
+    same = [r.asDict() | {"doc_id": 0, "component_id": 0, "kept": 0, "held_out": 0, "predicted": 0} for r in got if r.doc_id in (4, 5)]
+    assert same[0] == same[1] == same[2]
+    assert operator(docs.limit(0)).collect() == []
+
+
+def test_packing_edge_cases(spark):
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    got = packing.pack(edge_cases(spark), path).collect()
+    assert Counter(r.doc_id for r in got)[3] > 10 and sum(r.length for r in got if r.doc_id in (1, 2)) == 3
+    assert packing.pack(edge_cases(spark).limit(0), path).count() == 0
+    assert {r.used for r in packing.pack_documents(edge_cases(spark), path).collect()} <= set(range(1, 2049))
+
+
+def test_fingerprint_edge_cases(spark):
+    got = {r.doc_id: r for r in fingerprints.with_edits(edge_cases(spark)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5]
+    assert got[1].fingerprint == got[2].fingerprint == "" and got[1].near_next == 1.0 and got[2].near_next == 0.0
+    assert got[4].fingerprint == got[5].fingerprint and got[4].near_next == 1.0
+    assert fingerprints.with_edits(edge_cases(spark).limit(0)).count() == 0
+
+
+def test_repeated_ids_with_different_texts(spark):
+    words = [f"w{k}" for k in range(40)]
+    docs = spark.createDataFrame([(7, " ".join(words)), (7, "other text of few words"), (9, " ".join(words))], "doc_id long, text string")
+    got = neardup.near_duplicates(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles) for r in got) == [(7, 1), (7, 36), (9, 36)]
+
+
+def test_large_group_is_linked_as_by_brute_force(spark):
+    """Near copies around the bound, copies, and one passage that unlike documents share."""
+    rng = np.random.default_rng(3)
+    word = lambda: f"v{rng.integers(5000)}"
+    base = [word() for _ in range(60)]
+    texts = {}
+    for k in range(150):
+        w = list(base)
+        for p in rng.choice(60, rng.integers(0, 4), replace=False):
+            w[p] = word()
+        texts[k] = " ".join(w)
+    for k in range(150, 230):
+        texts[k] = " ".join([word() for _ in range(30)] + base[:40] + [word() for _ in range(30)])
+    for k in range(230, 260):
+        texts[k] = texts[k - 230]
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
+    assert got == linked_components({i: shingle_set(t) for i, t in texts.items()})
+    kept = neardup.keep_one(docs.withColumn("source", docs.text)).collect()
+    assert sorted(r.doc_id for r in kept) == sorted(set(got.values()))
+
+
+def jwt(head, body):
+    import base64
+    import json
+
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    return f"{part(head)}.{part(body)}.c2lnbmF0dXJl"
+
+
+def rsa_like():
+    number = lambda n: b"\x02" + bytes([len(n)]) + n
+    body = b"".join(number(bytes([k + 1]) * 9) for k in range(9))
+    return b"\x30" + bytes([len(body)]) + body
+
+
+def test_structure_confirms_or_rejects():
+    import base64
+
+    key = base64.b64encode(rsa_like()).decode()
+    good, bad = jwt({"alg": "HS256"}, {"sub": "1"}), jwt({"typ": "JWT"}, {"sub": "1"})
+    kinds = lambda t: [k for _, _, k in secrets.confirmed_spans(t)]
+    assert kinds(f"x {good} y") == ["jwt"] and kinds(f"x {bad} y") == []
+    assert kinds(f"-----BEGIN RSA PRIVATE KEY-----\n{key}\n-----END RSA PRIVATE KEY-----") == ["pem", "der"]
+    assert kinds(f"key {key} end") == ["der"] and kinds(f"key {rsa_like().hex()} end") == ["derhex"]
+    broken = base64.b64encode(rsa_like()[:-3]).decode()
+    assert kinds(f"key {broken} end") == [] and kinds("A" * 64) == []
+    assert secrets.redacted(f"a token = abcdef1 b {good}") == "a [SECRET] b [SECRET]"
+
+
+def test_redaction_keeps_the_columns(spark):
+    docs = spark.createDataFrame([(1, "token = abcdefgh", "s", 16), (2, None, "t", None)], "doc_id long, text string, source string, n_chars long")
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=lambda r: r[0]) == [(1, "[SECRET]", "s", 8), (2, None, "t", None)]
