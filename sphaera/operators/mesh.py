@@ -65,7 +65,7 @@ def rejected(vertex: DataFrame, face: DataFrame) -> DataFrame:
     f = face.groupBy("mesh_id").agg(F.max(F.greatest("a", "b", "c")).alias("high"), F.min(F.least("a", "b", "c")).alias("low"))
     p = mass_properties(triangles(vertex, face)).select("mesh_id", "volume", "scale", F.least(*(F.col(f"hi_{x}") - F.col(f"lo_{x}") for x in "xyz")).alias("thin"), ((F.col("hi_x") - F.col("lo_x")) * (F.col("hi_y") - F.col("lo_y")) * (F.col("hi_z") - F.col("lo_z"))).alias("box"))
     at = n.join(f, "mesh_id", "left").join(p, "mesh_id", "left")
-    reason = F.when(F.col("high").isNull(), "no faces").when((F.col("low") < 0) | (F.col("high") >= F.col("n")), "face index out of range").when("odd", "vertex not finite").when(F.col("thin") <= 1e-12 * F.col("scale"), "no extent").when(F.abs("volume") <= 1e-9 * F.col("box"), "no volume")
+    reason = F.when(F.col("high").isNull(), "no faces").when((F.col("low") < 0) | (F.col("high") >= F.col("n")), "face index out of range").when(F.col("odd"), "vertex not finite").when(F.col("thin") <= 1e-12 * F.col("scale"), "no extent").when(F.abs("volume") <= 1e-9 * F.col("box"), "no volume")
     return at.select("mesh_id", reason.alias("reason")).where("reason IS NOT NULL")
 
 

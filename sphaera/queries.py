@@ -229,12 +229,12 @@ def adam_step(spark, sf_dir):
 
 # -- boxes --------------------------------------------------------------------------------
 
-BOX = "box AS (SELECT p_partkey AS mesh_id, " + ", ".join(f"CAST(p_partkey % {n} AS DOUBLE) AS lo_{x}, CAST(p_partkey % {n} AS DOUBLE) + {size} AS hi_{x}" for x, n, size in (("x", 7, "(1 + p_size / CAST(10 AS DOUBLE)) * CAST(1.03717 AS DOUBLE)"), ("y", 5, "(1 + (p_size % 7) / CAST(4 AS DOUBLE)) * CAST(0.98313 AS DOUBLE)"), ("z", 3, "(1 + (p_size % 3) / CAST(2 AS DOUBLE)) * CAST(1.01239 AS DOUBLE)"))) + " FROM part)"
+BOX = "box AS (SELECT p_partkey AS mesh_id, " + ", ".join(f"CAST(p_partkey % {n} AS DOUBLE) AS lo_{x}, CAST(p_partkey % {n} AS DOUBLE) + {size} AS hi_{x}" for x, n, size in (("x", 7, "(1 + p_size / CAST(10 AS DOUBLE)) * CAST(1.037171313 AS DOUBLE)"), ("y", 5, "(1 + (p_size % 7) / CAST(4 AS DOUBLE)) * CAST(0.983131717 AS DOUBLE)"), ("z", 3, "(1 + (p_size % 3) / CAST(2 AS DOUBLE)) * CAST(1.012391919 AS DOUBLE)"))) + " FROM part)"
 
 
 def box_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
-    size = {"x": (1 + F.col("p_size") / 10.0) * 1.03717, "y": (1 + F.col("p_size") % 7 / 4.0) * 0.98313, "z": (1 + F.col("p_size") % 3 / 2.0) * 1.01239}
+    size = {"x": (1 + F.col("p_size") / 10.0) * 1.037171313, "y": (1 + F.col("p_size") % 7 / 4.0) * 0.983131717, "z": (1 + F.col("p_size") % 3 / 2.0) * 1.012391919}
     low = {x: (k % n).cast("double") for x, n in (("x", 7), ("y", 5), ("z", 3))}
     return p.select(k.alias("mesh_id"), *(c for x in "xyz" for c in (low[x].alias(f"lo_{x}"), (low[x] + size[x]).alias(f"hi_{x}"))))
 
