@@ -140,52 +140,62 @@ class Fitter:
         gc, gr, gm, raw = np.zeros_like(c), np.zeros(n), np.zeros(n), dict.fromkeys(LOSSES, 0.0)
 
         def distances(p):
-            diff = p[:, None] - c[None]
-            d = np.sqrt((diff * diff).sum(2))
-            return diff, d
+            d = np.zeros((len(p), n))
+            for k in range(3):
+                t = p[:, k, None] - c[None, :, k]
+                d += t * t
+            return np.sqrt(d, out=d)
 
         def toward(d):
             return 1 / np.maximum(d, 1e-300) * (d > 0)
 
-        def near(diff, d):
+        def near(p, d):
             j = (d - r).argmin(1)
-            i = np.arange(len(j))
-            return j, d[i, j] - r[j], diff[i, j] * toward(d[i, j])[:, None]
+            best = d[np.arange(len(j)), j]
+            return j, best - r[j], (p - c[j]) * toward(best)[:, None]
+
+        def add(into, j, values):
+            """Sums of values by j, a column at a time."""
+            if into.ndim == 1:
+                into += np.bincount(j, values, n)
+            else:
+                for k in range(3):
+                    into[:, k] += np.bincount(j, values[:, k], n)
 
         def pull(j, unit, slope):
             """d gap / d center is -unit, d gap / d radius -1."""
-            np.add.at(gc, j, -slope[:, None] * unit)
-            np.add.at(gr, j, -slope)
+            add(gc, j, -slope[:, None] * unit)
+            add(gr, j, -slope)
 
         if "coverage" in w:
-            j, gap, unit = near(*distances(self.inside))
+            j, gap, unit = near(self.inside, distances(self.inside))
             raw["coverage"] = np.maximum(gap, 0).mean()
             pull(j, unit, w["coverage"] * (gap > 0) / len(gap))
         if {"overlap", "containment"} & w.keys():
-            diff, d = distances(c)
-            unit, off = diff * toward(d)[..., None], ~np.eye(n, dtype=bool)
+            d, off = distances(c), ~np.eye(n, dtype=bool)
+            across = lambda w: w.sum(1)[:, None] * c - w @ c  # noqa: E731  sums of weighted differences to all centers
             if "overlap" in w:
                 deep = r[:, None] + r[None] - d
                 on = (deep > 0) & off
                 raw["overlap"] = (deep * on).sum() / n**2
                 gr += w["overlap"] * 2 * on.sum(1) / n**2
-                gc -= w["overlap"] * 2 * (on[..., None] * unit).sum(1) / n**2
+                gc -= w["overlap"] * 2 / n**2 * across(on * toward(d))
             if "containment" in w:
                 e = np.maximum(r[None] - d - r[:, None], 0) * off
                 raw["containment"] = (e * e).sum() / n**2
                 k = w["containment"] * 2 / n**2
                 gr += k * (e.sum(0) - e.sum(1))
-                gc -= k * ((e + e.T)[..., None] * unit).sum(1)
+                gc -= k * across((e + e.T) * toward(d))
         if {"boundary", "surface", "sqem", "hausdorff"} & w.keys():
-            diff, d = distances(self.surface)
-            s = len(self.surface)
+            d, s = distances(self.surface), len(self.surface)
             if "boundary" in w:
                 on = r - d > 0
                 raw["boundary"] = ((r - d) * on).sum() / (s * n)
                 k = w["boundary"] / (s * n)
                 gr += k * on.sum(0)
-                gc += k * ((on * toward(d))[..., None] * diff).sum(0)
-            j, gap, unit = near(diff, d)
+                pairs = on * toward(d)
+                gc += k * (pairs.T @ self.surface - pairs.sum(0)[:, None] * c)
+            j, gap, unit = near(self.surface, d)
             if "surface" in w:
                 raw["surface"] = np.abs(gap).mean()
                 pull(j, unit, w["surface"] * np.sign(gap) / s)
@@ -193,8 +203,8 @@ class Fitter:
                 e = np.einsum("ij,ij->i", self.normals, self.surface - c[j]) - r[j]
                 raw["sqem"] = (e * e).mean()
                 k = w["sqem"] * 2 * e / s
-                np.add.at(gc, j, -k[:, None] * self.normals)
-                np.add.at(gr, j, -k)
+                add(gc, j, -k[:, None] * self.normals)
+                add(gr, j, -k)
             if "hausdorff" in w:
                 h = np.maximum(gap, 0)
                 top = np.argsort(-h, kind="stable")[: max(1, int(TOP_SHARE * s))]
@@ -242,7 +252,7 @@ class Fitter:
         return raw, total, gc, gr * softplus_grad(self.raw), graw_mass
 
     def nearest_samples(self):
-        d = ((self.centers[:, None] - self.surface[None]) ** 2).sum(2)
+        d = sum((self.centers[:, k, None] - self.surface[None, :, k]) ** 2 for k in range(3))
         return d.argmin(1)
 
     def project(self):
