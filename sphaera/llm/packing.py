@@ -26,6 +26,8 @@ END_ID = 1
 OPEN = 64
 #: Partitions whose leftovers meet in one group.
 FAN_IN = 32
+#: Words that a worker keeps the ids of, about 200 bytes each; then it starts anew.
+WORDS_KEPT = 800_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, sequence long, offset long, full boolean"
 _FIELDS = [x.split()[0] for x in PIECES.split(", ")]
@@ -33,24 +35,37 @@ _FIELDS = [x.split()[0] for x in PIECES.split(", ")]
 _memos: dict[str, Memo] = {}
 
 
+def _core(word: str) -> tuple[str, str]:
+    """A word without case and the comma or full stop after it, which this vocabulary's pre-tokens are apart from letters."""
+    body, end = (word[:-1], word[-1]) if word[-1:] in (",", ".") else (word, "")
+    if not body.isalpha() or "\u03a3" in body:  # only the capital sigma's lower case depends on what is around it
+        return word, ""
+    return body.lower(), end
+
+
 def _ids(path: str) -> Memo:
     """word -> its ids as little-endian unsigned 32-bit numbers; kept for a worker's later tasks."""
     if path not in _memos:
         tokenizer = load_tokenizer(path)
 
-        def learn(words: list[str]) -> Iterator[bytes]:
+        def encode(words: list[str]) -> Iterator[bytes]:
             for batch in balanced(words):
                 for x in tokenizer.encode_batch_fast(batch, add_special_tokens=False):
                     yield np.array(x.ids, "<u4").tobytes()
 
-        _memos[path] = Memo(learn)
+        cores, ends = Memo(encode), dict(zip(("", ",", "."), encode(["", ",", "."]), strict=True))
+
+        def learn(words: list[str]) -> Iterator[bytes]:
+            split = [_core(w) for w in words]
+            return (ids + ends[end] for ids, (_, end) in zip(cores.values([c for c, _ in split]), split, strict=True))
+
+        _memos[path] = Memo(learn, WORDS_KEPT)
     return _memos[path]
 
 
 def document_ids(text: str | None, memo: Memo) -> bytes:
     """The ids of a text and END_ID.  The vocabulary drops white space, so words can be encoded apart at spaces and line ends."""
-    words = [w for w in (text or "").replace("\n", " ").split(" ") if w]
-    return b"".join(memo.values(words)) + END_ID.to_bytes(4, "little")
+    return b"".join(memo.values((text or "").replace("\n", " ").split(" "))) + END_ID.to_bytes(4, "little")
 
 
 class Windows:
