@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import fingerprints, licenses, neardup, packing, quality, rules, secrets, tokens, unigram, warc
 from .common import table
+from .sql import ORACLE_SQL
 
 
 def tokenizer_path(name: str) -> str:
@@ -60,4 +61,4 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_near_duplicates, op3_token_counts, op4_packing, op5_license_scan, op6_sentencepiece, op7_quality_classifier, op8_fingerprints, op9_warc_fixity, op10_quality_rules)}
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "tokenizer_path"]
