@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Entries that a worker's memo of words may hold before it starts anew.
-MEMO_ENTRIES = 400_000
+#: Words of a generation of a worker's memo.
+MEMO_ENTRIES = 300_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,22 +40,52 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
 
 
 class Memo:
-    """word -> value in ``known``, learnt by ``learn(list of words)`` in one batch; starts anew when it is full."""
+    """word -> value, learnt by ``learn(list of words)`` in one batch.
+
+    Two generations of up to ``entries`` words: when the young one is full it becomes the
+    old one, whose words come back as they are met, so frequent words are learnt once.
+    """
 
     def __init__(self, learn: Callable[[list], Iterable], entries: int = MEMO_ENTRIES):
-        self.learn, self.entries, self.known = learn, entries, {}
+        self.learn, self.entries, self.known, self.old = learn, entries, {}, {}
+
+    def know(self, words: Iterable) -> None:
+        missing = set(words).difference(self.known)
+        if not missing:
+            return
+        if len(self.known) + len(missing) > self.entries:
+            self.old, self.known = self.known, {}
+            missing = set(words)
+        new = []
+        for w in missing:
+            value = self.old.get(w)
+            if value is None:
+                new.append(w)
+            else:
+                self.known[w] = value
+        self.known.update(zip(new, self.learn(new), strict=True))
 
     def values(self, words: list) -> Iterator:
         """The values of the words, in their order."""
-        if missing := set(words).difference(self.known):
-            if len(self.known) + len(missing) > self.entries:
-                self.known = {}
-                missing = set(words)
-            missing = list(missing)
-            self.known.update(zip(missing, self.learn(missing), strict=True))
+        self.know(words)
         return map(self.known.__getitem__, words)
 
 
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text as the operators take them, whatever other columns stand beside them."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def filter_texts(df: DataFrame, keep: Callable[[], Callable[[list], Iterable[bool]]]) -> DataFrame:
+    """The rows of df whose text is kept, with all their columns; a narrow pass, each row judged by its own text.
+
+    keep() is called once a task and gives a function from texts (None among them) to verdicts.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdicts = keep()
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+            yield batch.filter(pa.array(verdicts(texts), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

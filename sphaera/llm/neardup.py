@@ -233,6 +233,14 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS)
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The rows of docs that are first of their component, with their columns; one row where a doc_id repeats."""
-    gone = near_duplicates(docs, percent, words).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """The rows of docs that are first of their component, with their columns; one row where a doc_id repeats.
+
+    The ids that go are broadcast behind a count, so that texts aren't shuffled once more;
+    beyond it they are joined by a shuffle.
+    """
+    gone = durable(near_duplicates(docs, percent, words).where("NOT kept").select("doc_id").distinct())
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
+    return out if rows.n == rows.ids else out.dropDuplicates(["doc_id"])

@@ -26,8 +26,8 @@ END_ID = 1
 OPEN = 64
 #: Partitions whose leftovers meet in one group.
 FAN_IN = 32
-#: Words that a worker keeps the ids of, about 200 bytes each; then it starts anew.
-WORDS_KEPT = 800_000
+#: Words of a generation of a worker's memo of ids, about 200 bytes each.
+WORDS_KEPT = 450_000
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, sequence long, offset long, full boolean"
 _FIELDS = [x.split()[0] for x in PIECES.split(", ")]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents
+from .common import arrow_map, documents, filter_texts
 from .rules import repeated_words, words_of
 
 #: Bound of the labelled rows that a model is fitted on; where there are more, those with the smallest hash of doc_id.
@@ -180,7 +180,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def keep_by_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose text the classifier takes for label 1; where rows repeat a doc_id, all stay only if each does."""
-    bad = score(docs, train(docs, labels)).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+def keep_by_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text the classifier takes for label 1, with their columns; each row is judged by its own text."""
+    model = train(docs, labels)
+    verdicts = lambda texts: model.score(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))) >= threshold
+    return filter_texts(docs, lambda: verdicts)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-from .common import arrow_map, documents
+from .common import arrow_map, documents, filter_texts
 
 LEVEL = 3
 CHUNK = 4096
@@ -74,6 +74,18 @@ def in_band(n_bytes: int, ratio: float) -> bool:
     return next(least <= ratio <= most for end, least, most in BANDS if n_bytes <= end)
 
 
+def measure(text: str | None, compressor, chunk: int = CHUNK) -> tuple:
+    """The counts, ratios and verdicts of one text, in the order of SCHEMA without doc_id."""
+    text = text or ""
+    data, words = text.encode("utf-8", "surrogatepass"), words_of(text)
+    whole, parts = ratios(data, compressor, chunk)
+    outside = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in parts)
+    n, repeated = len(words), repeated_words(words)
+    failed = n < MIN_WORDS or 100 * repeated > REPEATED_PERCENT * n
+    kept = not failed and in_band(len(data), whole) and outside <= CHUNKS_OUTSIDE * len(parts)
+    return n, sum(map(len, words)), len(data) - len(data.translate(None, _SYMBOLS)), duplicate_lines(text), repeated, len(data), whole, len(parts), outside, failed, kept
+
+
 def measures(docs: DataFrame, level: int = LEVEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, counts, ratios and verdicts of each row of docs (doc_id, text, ...).
 
@@ -83,27 +95,18 @@ def measures(docs: DataFrame, level: int = LEVEL, chunk: int = CHUNK) -> DataFra
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
         compressor = zstandard.ZstdCompressor(level=level, write_checksum=False)
-        rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            text = text or ""
-            data, words = text.encode("utf-8", "surrogatepass"), words_of(text)
-            whole, parts = ratios(data, compressor, chunk)
-            outside = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in parts)
-            n, repeated = len(words), repeated_words(words)
-            failed = n < MIN_WORDS or 100 * repeated > REPEATED_PERCENT * n
-            kept = not failed and in_band(len(data), whole) and outside <= CHUNKS_OUTSIDE * len(parts)
-            rows.append((doc_id, n, sum(map(len, words)), len(data) - len(data.translate(None, _SYMBOLS)), duplicate_lines(text), repeated, len(data), whole, len(parts), outside, failed, kept))
+        rows = [(doc_id, *measure(text, compressor, chunk)) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
         columns = list(zip(*rows)) if rows else [()] * len(_FIELDS)
         return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(columns, _FIELDS, strict=True)], [n for n, _ in _FIELDS])
 
     return arrow_map(documents(docs), f, SCHEMA)
 
 
-def keep_by_rules(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns.
+def keep_by_rules(docs: DataFrame, level: int = LEVEL) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns; each row is judged by its own text."""
 
-    A row is judged by its doc_id's text; where rows repeat a doc_id, all of them stay only
-    if each is kept.
-    """
-    bad = measures(docs).where("NOT kept").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    def keep():
+        compressor = zstandard.ZstdCompressor(level=level, write_checksum=False)
+        return lambda texts: [measure(t, compressor)[-1] for t in texts]
+
+    return filter_texts(docs, keep)
