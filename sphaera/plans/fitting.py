@@ -140,19 +140,16 @@ class Fitter:
         gc, gr, gm, raw = np.zeros_like(c), np.zeros(n), np.zeros(n), dict.fromkeys(LOSSES, 0.0)
 
         def distances(p):
-            d = np.zeros((len(p), n))
-            for k in range(3):
-                t = p[:, k, None] - c[None, :, k]
-                d += t * t
-            return np.sqrt(d, out=d)
+            return np.sqrt(np.maximum(self.squares(p), 0))
 
         def toward(d):
             return 1 / np.maximum(d, 1e-300) * (d > 0)
 
         def near(p, d):
             j = (d - r).argmin(1)
-            best = d[np.arange(len(j)), j]
-            return j, best - r[j], (p - c[j]) * toward(best)[:, None]
+            v = p - c[j]
+            best = np.sqrt(np.einsum("ij,ij->i", v, v))
+            return j, best - r[j], v * toward(best)[:, None]
 
         def add(into, j, values):
             """Sums of values by j, a column at a time."""
@@ -172,8 +169,9 @@ class Fitter:
             raw["coverage"] = np.maximum(gap, 0).mean()
             pull(j, unit, w["coverage"] * (gap > 0) / len(gap))
         if {"overlap", "containment"} & w.keys():
-            d, off = distances(c), ~np.eye(n, dtype=bool)
+            off = ~np.eye(n, dtype=bool)
             across = lambda w: w.sum(1)[:, None] * c - w @ c  # noqa: E731  sums of weighted differences to all centers
+            d = np.linalg.norm(c[:, None] - c[None], axis=2)
             if "overlap" in w:
                 deep = r[:, None] + r[None] - d
                 on = (deep > 0) & off
@@ -251,9 +249,17 @@ class Fitter:
                 total += w[k] * raw[k]
         return raw, total, gc, gr * softplus_grad(self.raw), graw_mass
 
+    def squares(self, p):
+        """Squared distances of points to all centers by one matrix product, about the mesh's center to lose no digits."""
+        q, c = p - self.com, self.centers - self.com
+        out = q @ (-2 * c.T)
+        out += (q * q).sum(1)[:, None]
+        out += (c * c).sum(1)[None]
+        return out
+
     def nearest_samples(self):
-        d = sum((self.centers[:, k, None] - self.surface[None, :, k]) ** 2 for k in range(3))
-        return d.argmin(1)
+        q = self.surface - self.com
+        return ((q * q).sum(1)[None] - 2 * ((self.centers - self.com) @ q.T)).argmin(1)
 
     def project(self):
         """Moves centers that are outside along their nearest sample's normal; how many moved."""
@@ -317,7 +323,7 @@ class Fitter:
         out = np.zeros(len(self.raw))
         for samples, weight in ((self.inside, self.t["coverage_weight"]), (self.surface, self.t["surface_weight"] + self.t["boundary_weight"] + self.t["sqem_weight"])):
             if weight > 0 and len(samples):
-                gap = np.linalg.norm(samples[:, None] - self.centers[None], axis=2) - self.radii
+                gap = np.sqrt(np.maximum(self.squares(samples), 0)) - self.radii
                 j = gap.argmin(1)
                 best = gap.min(1)
                 second = np.partition(gap, 1, axis=1)[:, 1] if gap.shape[1] > 1 else np.full(len(gap), 1e6)

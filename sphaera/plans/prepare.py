@@ -211,4 +211,4 @@ def flat_meshes(vertex: DataFrame, face: DataFrame) -> DataFrame:
     flat = lambda rows, *names: F.flatten(F.transform(F.sort_array(rows), lambda x: F.array(*(x[n] for n in names))))
     v = vertex.groupBy("mesh_id").agg(flat(F.collect_list(F.struct("vid", "x", "y", "z")), "x", "y", "z").alias("v"))
     f = face.groupBy("mesh_id").agg(flat(F.collect_list(F.struct("fid", "a", "b", "c")), "a", "b", "c").alias("f"))
-    return v.join(f, "mesh_id")
+    return v.join(f, "mesh_id").select(F.col("mesh_id").cast("string"), "v", "f")

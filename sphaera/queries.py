@@ -15,7 +15,10 @@ from pyspark.sql import functions as F
 
 from sphaera.functions import scalar
 from sphaera.operators import containment, history, kinematics, losses, mesh, quality, sampling, search, topology
+from sphaera.plans import fitting, prepare
+from sphaera.plans.config import Config
 from sphaera.plans.evaluate import evaluate
+from sphaera.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -444,6 +447,68 @@ def hls_round_trip(spark, sf_dir):
     return h.select("p_partkey", *(F.round(c, 6).alias(n) for c, n in zip(scalar.hls_to_rgb("h", "l", "s"), ("red", "green", "blue"), strict=True)))
 
 
+_PATH = "path AS (SELECT o_custkey % 10 AS package_id, 'p' || o_orderkey % 7 || '/./' || o_orderpriority || '//' || o_orderkey % 50 AS raw, 'p' || o_orderkey % 7 || '/' || o_orderpriority || '/' || o_orderkey % 50 AS path, o_orderkey AS n FROM orders)"
+
+
+def package_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("p"), F.col("o_orderkey") % 7, F.lit("/./"), F.col("o_orderpriority"), F.lit("//"), F.col("o_orderkey") % 50)
+    return o.select((F.col("o_custkey") % 10).alias("package_id"), path.alias("path"), F.col("o_orderkey").alias("n"))
+
+
+@query(with_(_PATH) + "SELECT package_id, path, max(n) AS n FROM path GROUP BY package_id, path")
+def package_upserts(spark, sf_dir):
+    return files.upserted(package_files(spark, sf_dir), "n")
+
+
+@query(with_(_PATH) + "SELECT DISTINCT package_id, split_part(path, '/', 1) AS path FROM path UNION SELECT package_id, regexp_replace(path, '/[^/]*$', '') FROM path")
+def package_directories(spark, sf_dir):
+    return files.directories(files.upserted(package_files(spark, sf_dir), "n"))
+
+
+@query()
+def surface_samples(spark, sf_dir):
+    return sampling.surface(mesh.with_normals(box_triangles(spark, sf_dir)), 5)
+
+
+@query()
+def inside_samples(spark, sf_dir):
+    t = box_triangles(spark, sf_dir)
+    return sampling.inside(mesh.mass_properties(t), t, 5)
+
+
+@query()
+def initial_spheres(spark, sf_dir):
+    """Voxel centers with log-normal radii for each part's box."""
+    t = box_triangles(spark, sf_dir)
+    p = mesh.mass_properties(t)
+    return sampling.lognormal_radii(sampling.voxel_centers(p, t, 4), p)
+
+
+@query()
+def packing_quality(spark, sf_dir):
+    """The metrics of one ball of the box's volume at each box's center."""
+    t = mesh.with_normals(box_triangles(spark, sf_dir))
+    p = mesh.mass_properties(t)
+    s = p.select("mesh_id", F.lit(0).alias("sid"), *(F.col(f"com_{x}").alias(f"c{x}") for x in "xyz"), F.cbrt(F.col("volume") * 3 / (4 * 3.141592653589793)).alias("r"))
+    return quality.evaluate(p, t, s, surface_samples=32, volume_samples=64)
+
+
+@query()
+def prepared_meshes(spark, sf_dir):
+    return prepare.prepare_meshes(prepare.flat_meshes(*mesh.boxes(box_bounds(spark, sf_dir))), convex_hull=True)
+
+
+@query()
+def fitted_runs(spark, sf_dir):
+    """A short run on a box for each nation."""
+    n = table(spark, sf_dir, "nation")
+    b = n.select(F.col("n_nationkey").cast("string").alias("mesh_id"), *(c for x, m in (("x", 3), ("y", 4), ("z", 5)) for c in (F.lit(0.0).alias(f"lo_{x}"), (1.0 + F.col("n_nationkey") % m).alias(f"hi_{x}"))))
+    c = Config.preset("B", **{"model.num_spheres": 8, "model.num_inside_samples": 100, "model.num_surface_samples": 100, "training.iterations": 20, "random_seed": 1})
+    runs = b.select(F.col("mesh_id").alias("run_id"), "mesh_id", F.lit(c.to_json()).alias("config"))
+    return fitting.fit(runs, *mesh.boxes(b))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sphere: samples it is nearest to, mean positive and absolute gap, marginal value, spheres it overlaps."""
     p, s = points(spark, sf_dir), spheres(spark, sf_dir)

@@ -80,7 +80,7 @@ def upserted(files: DataFrame, order: str) -> DataFrame:
     """The last arrival (by order) of each package's normalised path."""
     w = W.partitionBy("package_id", "path").orderBy(F.desc(order))
     keyed = files.withColumn("path", normalize_path("path")).where("path IS NOT NULL")
-    return keyed.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    return keyed.withColumn("_nth", F.row_number().over(w)).where("_nth = 1").drop("_nth")
 
 
 def directories(files: DataFrame) -> DataFrame:
