@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,7 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Bytes of text in one run of the Viterbi.
 BLOCK_BYTES = 1 << 18
+CHUNK_BYTES = 1 << 21
 
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 
@@ -180,9 +182,24 @@ class Unigram:
 
     def encode(self, text: str | None, memo: Memo) -> np.ndarray:
         """The ids of a text; none for an empty one."""
-        if not text:
-            return np.empty(0, "<i4")
-        return np.frombuffer(b"".join(memo.values(_UNITS.findall(" " + text))), "<i4")
+        return next(self.encode_all([text], memo))
+
+    def encode_all(self, texts: Iterable[str | None], memo: Memo) -> Iterator[np.ndarray]:
+        """The ids of texts; their words are learnt together for about CHUNK_BYTES of text, as the Viterbi is quickest over many."""
+        units, size = [], 0
+        for text in texts:
+            units.append(_UNITS.findall(" " + text) if text else [])
+            size += len(text or "")
+            if size >= CHUNK_BYTES:
+                yield from self._encoded(units, memo)
+                units, size = [], 0
+        yield from self._encoded(units, memo)
+
+    @staticmethod
+    def _encoded(units: list[list[str]], memo: Memo) -> Iterator[np.ndarray]:
+        memo.know(chain.from_iterable(units))
+        for u in units:
+            yield np.frombuffer(b"".join(memo.values(u)), "<i4")
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; bytes that are no UTF-8 become replacement characters."""
@@ -190,6 +207,8 @@ class Unigram:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+_memos: dict[str, Memo] = {}
+
 SCHEMA = "doc_id long, n_tokens long, n_fallback long, ids_crc32 long, round_trip boolean"
 
 
@@ -204,11 +223,11 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
     def run(batches):
         model = shared.value
-        memo = model.memo()
+        memo = _memos.setdefault(path, model.memo())  # kept for a worker's later tasks
         for batch in batches:
             rows, every = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = model.encode(text, memo)
+            texts = batch.column(1).to_pylist()
+            for doc_id, text, ids in zip(batch.column(0).to_pylist(), texts, model.encode_all(texts, memo), strict=True):
                 rows.append((doc_id, len(ids), int(model.fallback[ids].sum()), zlib.crc32(ids.tobytes()), model.decode(ids) == (text or "")))
                 every.append(ids)
             columns = list(zip(*rows)) if rows else [()] * 5
