@@ -60,13 +60,13 @@ def postings(templates: tuple = TEMPLATES, rare: int = RARE) -> list[tuple[str,
     return out
 
 
-def _normal(text: Column) -> Column:
-    """The words, lower-cased, with a space before and after each; a space for none.
+def _normal(lower: Column) -> Column:
+    """The words of a lower-cased text with a space before and after each; a space for none.
 
-    The words' letters other than A-Z are lower-cased as well, which no phrase or template
-    here can tell, as none of them has a letter that another than A-Z becomes.
+    Letters other than A-Z are lower-cased as well, which no phrase or template here can
+    tell, as none of them has a letter that another than A-Z becomes.
     """
-    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[\\x00-/:-`{-\\x7F]+", " ")
+    words = F.regexp_replace(lower, "[\\x00-/:-`{-\\x7F]+", " ")
     return F.concat(F.lit(" "), F.ltrim(F.concat(F.rtrim(words), F.lit(" "))))
 
 
@@ -74,11 +74,27 @@ def _spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
+def anchors() -> list[str]:
+    """Words of which each phrase has one: of its words over three letters, if any, the one in most phrases, then the longest."""
+    phrases = [p.split() for p, _ in BASE] + [p.split() for _, p, _ in TEMPLATES]
+    count = Counter(w for p in phrases for w in set(p))
+    return sorted({max(p, key=lambda w: (len(w) > 3, count[w], len(w))) for p in phrases})
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words and s, the normal form of texts that hold an anchor, a space for others: only those can have a phrase."""
+    lower = F.lower("text")
+    some = F.lit(False)
+    for w in anchors():
+        some = some | F.col("lower").contains(w)
+    rows = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("lower", lower)
+    n_words = F.regexp_count("text", F.lit("[^\\x00-/:-@\\[-`{-\\x7F]+")).cast("long")
+    return rows.select("doc_id", n_words.alias("n_words"), F.when(some, _normal(F.col("lower"))).otherwise(" ").alias("s"))
+
+
 def base_labels(rows: DataFrame) -> DataFrame:
-    """rows of (doc_id, s), s as _normal gives it -> doc_id, n_words, n_base, first_word, last_word, base (array of labels)."""
+    """rows of _rows -> doc_id, n_words, n_base, first_word, last_word, base (array of labels)."""
     s = F.col("s")
-    n_words = F.when(s == " ", F.lit(0).cast("long")).otherwise(_spaces(s) - 1)
-    rows = rows.withColumn("n_words", n_words)
     found = [s.contains(f" {p} ") for p, _ in BASE]
     counts = [F.when(x, F.regexp_count(s, F.lit(f" {p}(?= )")).cast("long")).otherwise(F.lit(0).cast("long")) for x, (p, _) in zip(found, BASE, strict=True)]
     firsts = [F.when(x, _spaces(F.substring_index(s, f" {p} ", 1))) for x, (p, _) in zip(found, BASE, strict=True)]
@@ -88,10 +104,10 @@ def base_labels(rows: DataFrame) -> DataFrame:
 
 
 def template_labels(rows: DataFrame) -> DataFrame:
-    """rows of (doc_id, s) -> doc_id, found (array of labels), coverage, for those where a template is confirmed."""
+    """rows of _rows -> doc_id, found (array of labels), coverage, for those where a template is confirmed."""
     index = postings()
     rare = F.array(*(F.lit(w) for w in sorted({w for w, *_ in index})))
-    rows = rows.withColumn("words", F.split(F.trim("s"), " ")).where(F.arrays_overlap("words", rare))
+    rows = rows.select("doc_id", "s").where("s <> ' '").withColumn("words", F.split(F.trim("s"), " ")).where(F.arrays_overlap("words", rare))
     phrases = sum((F.when(F.col("s").contains(f" {p} "), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, p, _) in enumerate(TEMPLATES)), F.lit(0))
     placed = rows.withColumn("phrases", phrases).where("phrases > 0").select("doc_id", "phrases", F.posexplode("words").alias("i", "word"))
     values = ", ".join(f"('{w}', {k}, {at}, {weight!r}D)" for w, k, at, weight in index)
@@ -113,7 +129,7 @@ def scan(docs: DataFrame) -> DataFrame:
     that the templates give any of them.  Other columns are ignored; an empty table gives no
     rows.
     """
-    rows = documents(docs).select("doc_id", _normal(F.col("text")).alias("s"))
+    rows = _rows(docs)
     out = base_labels(rows).join(template_labels(rows), "doc_id", "left")
     both = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
     score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.round("coverage", 6), F.lit(0.0)))
