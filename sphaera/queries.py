@@ -294,7 +294,7 @@ def merged_vertices(spark, sf_dir):
     """Boxes whose faces have corners of their own, merged again."""
     t = box_triangles(spark, sf_dir)
     corner = F.posexplode(F.array(*(F.struct(*(F.col(f"{k}{x}").alias(x) for x in "xyz")) for k in "abc"))).alias("k", "p")
-    v = t.select("mesh_id", "fid", corner).select("mesh_id", (F.col("fid") * 3 + F.col("k")).alias("vid"), *((F.col(f"p.{x}") + F.col("k") * 1e-10).alias(x) for x in "xyz"))
+    v = t.select("mesh_id", "fid", corner).select("mesh_id", (F.col("fid") * 3 + F.col("k")).alias("vid"), *((F.round(F.col(f"p.{x}"), 6) + F.col("k") * 1e-10).alias(x) for x in "xyz"))
     f = t.select("mesh_id", "fid", *((F.col("fid") * 3 + k).alias(c) for k, c in enumerate("abc")))
     v2, f2 = topology.merge_vertices(v, f)
     return v2.groupBy("mesh_id").agg(F.count("*").cast("int").alias("vertices")).join(f2.groupBy("mesh_id").agg(F.count("*").cast("int").alias("faces")), "mesh_id")
@@ -393,9 +393,9 @@ def latest_frames(spark, sf_dir):
 # -- links --------------------------------------------------------------------------------
 
 
-@query("SELECT l_orderkey AS package, sum(l_linenumber)::BIGINT AS num_spheres, min(l_discount) AS d_min, round(CASE WHEN sum(l_extendedprice) > 0 THEN sum(l_extendedprice * l_tax) / sum(l_extendedprice) ELSE avg(l_tax) END, 6) AS d_mean, max(l_quantity) AS d_max, round(CASE WHEN sum(v) > 0 THEN sum(v * l_discount) / sum(v) ELSE avg(l_discount) END, 6) AS coverage FROM (SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_quantity END AS v FROM lineitem) GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS package, sum(l_linenumber)::BIGINT AS num_spheres, min(l_discount) AS d_min, round(CASE WHEN sum(l_extendedprice) > 0 THEN sum(l_extendedprice * l_tax) / sum(l_extendedprice) ELSE avg(l_tax) END, 6) AS d_mean, max(l_quantity) AS d_max, round(CASE WHEN sum(v) > 0 THEN sum(v * l_discount) / sum(v) ELSE avg(l_discount) END, 6) AS coverage FROM (SELECT * REPLACE (l_discount * CAST(1.0371713 AS DOUBLE) AS l_discount, l_tax * CAST(1.0371713 AS DOUBLE) AS l_tax), CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE l_quantity END AS v FROM lineitem) GROUP BY l_orderkey")
 def quality_rollup(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("package"), F.col("l_linenumber").alias("num_spheres"), F.col("l_discount").alias("d_min"), F.col("l_tax").alias("d_mean"), F.col("l_quantity").alias("d_max"), F.col("l_discount").alias("coverage"), F.col("l_extendedprice").alias("area"), F.when(F.col("l_orderkey") % 3 == 0, 0.0).otherwise(F.col("l_quantity")).alias("volume_est"))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("package"), F.col("l_linenumber").alias("num_spheres"), (F.col("l_discount") * 1.0371713).alias("d_min"), (F.col("l_tax") * 1.0371713).alias("d_mean"), F.col("l_quantity").alias("d_max"), (F.col("l_discount") * 1.0371713).alias("coverage"), F.col("l_extendedprice").alias("area"), F.when(F.col("l_orderkey") % 3 == 0, 0.0).otherwise(F.col("l_quantity")).alias("volume_est"))
     return quality.rollup(rows, ["package"]).select("package", "num_spheres", "d_min", *r6("d_mean"), "d_max", *r6("coverage"))
 
 
