@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Words of a generation of a worker's memo.
 MEMO_ENTRIES = 300_000
+#: Rows that a worker takes at once.
+BATCH_ROWS = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,11 +31,20 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """f over every Arrow batch of df, without a shuffle."""
+def small(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, memo: bool = False) -> DataFrame:
+    """f over every Arrow batch of df, without a shuffle; memo: f keeps a worker_memo."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        if not memo:
+            drop_memos()
+        for batch in small(batches):
             yield f(batch)
 
     return df.mapInArrow(run, schema)
@@ -71,6 +82,21 @@ class Memo:
         return map(self.known.__getitem__, words)
 
 
+_kept: dict = {}
+
+
+def worker_memo(key: tuple, make: Callable[[], Memo]) -> Memo:
+    """A memo that lasts beyond a task.  A worker keeps one at a time: another operator's tasks drop it."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def drop_memos() -> None:
+    _kept.clear()
+
+
 def documents(df: DataFrame) -> DataFrame:
     """doc_id and text as the operators take them, whatever other columns stand beside them."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -83,8 +109,9 @@ def filter_texts(df: DataFrame, keep: Callable[[], Callable[[list], Iterable[boo
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_memos()
         verdicts = keep()
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
             yield batch.filter(pa.array(verdicts(texts), pa.bool_()))
 

@@ -33,8 +33,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, documents, durable
+from .common import Memo, arrow_map, documents, drop_memos, durable, small
 
+#: Words of a generation of a task's memo of hashes.
+WORDS_KEPT = 150_000
 WORDS = 5
 PERCENT = 75
 CHUNKS = 17
@@ -66,7 +68,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _word_memo() -> Memo:
-    return Memo(lambda words: map(xxhash.xxh64_intdigest, words))
+    return Memo(lambda words: map(xxhash.xxh64_intdigest, words), WORDS_KEPT)
 
 
 def shingles(text: str | None, memo: Memo, words: int = WORDS) -> np.ndarray:
@@ -117,8 +119,9 @@ def _sets(df: DataFrame, words: int) -> DataFrame:
     """doc_id -> its set's identity, size, signature and sketch."""
 
     def run(batches):
+        drop_memos()
         memo = _word_memo()
-        for batch in batches:
+        for batch in small(batches):
             sigs, ids, n = [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingles(text, memo, words)
@@ -143,8 +146,9 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     def run(batches):
+        drop_memos()
         memo = _word_memo()
-        for batch in batches:
+        for batch in small(batches):
             every = [shingles(t, memo, words) for t in batch.column(1).to_pylist()]
             key = np.array([_identity(s) for s in every], np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([s.view(np.int64) for s in every], pa.list_(pa.int64()))], ["rep", "set0", "set1", "hashes"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, documents, durable
+from .common import Memo, documents, durable, small, worker_memo
 from .tokens import balanced, load_tokenizer
 
 SIZE = 2048
@@ -32,9 +32,6 @@ WORDS_KEPT = 450_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, sequence long, offset long, full boolean"
 _FIELDS = [x.split()[0] for x in PIECES.split(", ")]
 
-_memos: dict[str, Memo] = {}
-
-
 def _core(word: str) -> tuple[str, str]:
     """A word without case and the comma or full stop after it, which this vocabulary's pre-tokens are apart from letters."""
     body, end = (word[:-1], word[-1]) if word[-1:] in (",", ".") else (word, "")
@@ -45,7 +42,8 @@ def _core(word: str) -> tuple[str, str]:
 
 def _ids(path: str) -> Memo:
     """word -> its ids as little-endian unsigned 32-bit numbers; kept for a worker's later tasks."""
-    if path not in _memos:
+
+    def make() -> Memo:
         tokenizer = load_tokenizer(path)
 
         def encode(words: list[str]) -> Iterator[bytes]:
@@ -59,8 +57,9 @@ def _ids(path: str) -> Memo:
             split = [_core(w) for w in words]
             return (ids + ends[end] for ids, (_, end) in zip(cores.values([c for c, _ in split]), split, strict=True))
 
-        _memos[path] = Memo(learn, WORDS_KEPT)
-    return _memos[path]
+        return Memo(learn, WORDS_KEPT)
+
+    return worker_memo(("ids", path), make)
 
 
 def document_ids(text: str | None, memo: Memo) -> bytes:
@@ -113,7 +112,7 @@ def _packed(df: DataFrame, path: str, size: int, most: int) -> DataFrame:
 
         memo, task, n = _ids(path), TaskContext.get().partitionId(), 0
         windows = Windows(size, most)
-        for batch in batches:
+        for batch in small(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = document_ids(text, memo)
                 total = len(ids) // 4

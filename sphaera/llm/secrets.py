@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, documents
+from .common import arrow_map, documents, small
 
 #: Kinds in the order that spans with one start are listed in: base kinds, then the method's.
 KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "openssh", "derhex")
@@ -180,7 +180,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs, its texts without secrets and n_chars, where there is one, set anew.  Null texts stay null."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small(batches):
             at = batch.schema.get_field_index("text")
             yield batch.set_column(at, batch.schema.field(at), pa.array([t and redacted(t) for t in batch.column(at).to_pylist()], batch.schema.field(at).type))
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, arrow_map, documents
+from .common import Memo, arrow_map, documents, worker_memo
 
 LIMIT = 512
 BATCH_BYTES = 1 << 18
@@ -57,20 +57,19 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
-_memos: dict[str, Memo] = {}
-
-
 def _lengths(path: str) -> Memo:
     """The lengths of parts, kept for a worker's later tasks."""
-    if path not in _memos:
+
+    def make() -> Memo:
         tokenizer = load_tokenizer(path)
 
         def learn(words: list[str]) -> Iterator[int]:
             for batch in balanced(words):
                 yield from map(len, tokenizer.encode_batch_fast(batch, add_special_tokens=False))
 
-        _memos[path] = Memo(learn)
-    return _memos[path]
+        return Memo(learn)
+
+    return worker_memo(("lengths", path), make)
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
@@ -88,4 +87,4 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
 
     docs = documents(docs).select("doc_id", F.coalesce(F.octet_length("text").cast("long"), F.lit(0).cast("long")).alias("n_bytes"), "text")
-    return arrow_map(docs, f, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return arrow_map(docs, f, "doc_id long, n_bytes long, n_tokens long", memo=True).withColumn("over_limit", F.col("n_tokens") > limit)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Memo, documents
+from .common import Memo, documents, small, worker_memo
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -207,8 +207,6 @@ class Unigram:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
-_memos: dict[str, Memo] = {}
-
 SCHEMA = "doc_id long, n_tokens long, n_fallback long, ids_crc32 long, round_trip boolean"
 
 
@@ -223,8 +221,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
     def run(batches):
         model = shared.value
-        memo = _memos.setdefault(path, model.memo())  # kept for a worker's later tasks
-        for batch in batches:
+        memo = worker_memo(("unigram", path), model.memo)  # kept for a worker's later tasks
+        for batch in small(batches, 1000):
             rows, every = [], []
             texts = batch.column(1).to_pylist()
             for doc_id, text, ids in zip(batch.column(0).to_pylist(), texts, model.encode_all(texts, memo), strict=True):
