@@ -218,6 +218,36 @@ def test_rules_keep_clean_documents(spark):
     assert all(r.kept for r in clean)
 
 
+LENGTHS = [400, 700, 1000, 1800, 3000, 6000, 14000, 30000, 60000, 200000]
+
+
+@pytest.mark.parametrize("size", LENGTHS)
+def test_bands_reject_repeats_and_noise(texts, size):
+    """By the bands alone: the base rules pass each text."""
+    import random
+
+    import zstandard
+
+    rng, compressor = random.Random(size), zstandard.ZstdCompressor(level=rules.LEVEL, write_checksum=False)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    noise = lambda alphabet: " ".join("".join(rng.choices(alphabet, k=5)) for _ in range(size // 6))
+    words = sorted({w for t in texts.values() for w in WORDS.findall(t)})
+    passage = [rng.choice(words) for _ in range(24)]
+    half = " ".join(w for k in range(size // 100) for w in [rng.choice(words), *passage[k % 20 : k % 20 + 2]])
+    repeated = (half + " x ") * (2 + size // max(1, len(half)))
+    for text in (noise(letters), repeated):
+        n, *_, n_bytes, whole, _, _, _, kept = rules.measure(text, compressor)
+        assert n >= rules.MIN_WORDS and not rules.in_band(n_bytes, whole) and not kept
+
+
+def test_bands_tell_labelled_texts_apart(spark):
+    """Of labelled texts, held-out ones among them, that pass the base rules: clean ones stay, most of the others go."""
+    labels = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    got = rows(spark, "/root/testdata/sf0.01", "op10_quality_rules")
+    bad = [got[i] for i, q in labels.items() if not q and not got[i].base_failed]
+    assert sum(not r.kept for r in bad) >= 0.5 * len(bad) > 0
+
+
 def edge_cases(spark):
     return spark.createDataFrame(
         [(1, None, "a", None), (1, None, "a", None), (2, "", "b", 1), (3, "word " * 30000, None, 2), (4, "same text here", "c", 3), (4, "same text here", "c", 3), (5, "same text here", "d", 4)],
