@@ -29,8 +29,17 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-fA-F]{2}){32,}(?![0-9A-Fa-f])")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.-]*?)-----END \1-----")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/]{40,}={0,2}")
+_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\-]*?)-----END \1-----")
+#: Line ends, also as the escapes of a quoted string.
+_LINE_END = re.compile(r"(?:\\+r)?\\+n|\r\n?|\\+r")
+#: A DER sequence in base64, either alphabet, and the first letters of an OpenSSH key.
+_DER_START = re.compile(r"M[A-P][A-Za-z0-9+/_-]{6,}")
+_OPENSSH_START = "b3BlbnNzaC1rZXktdjE"
+#: Base64 without a break, and what may stand between two pieces of it: white space, escaped or not, and the escape of a slash.
+_PIECE = re.compile(r"[A-Za-z0-9+/_-]+")
+_BREAK = re.compile(r"(?:\s|\\+[nrt]|\\+(?=[\s/]))+")
+_PADDING = re.compile(r"={0,2}")
+_INNER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-")
 _OPENSSH = b"openssh-key-v1\x00"
 
 
@@ -92,6 +101,83 @@ def is_openssh(data: bytes) -> bool:
     return at + 4 <= len(data)
 
 
+def openssh_length(data: bytes) -> int | None:
+    """The length of an OpenSSH key file at the start of data, from its own counts; None where it doesn't end there."""
+    at, left = len(_OPENSSH), 3
+    while left:
+        if at + 4 > len(data):
+            return None
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+    if at + 4 > len(data) or (left := int.from_bytes(data[at : at + 4], "big") + 1) > len(data):
+        return None
+    at += 4
+    while left:
+        if at + 4 > len(data):
+            return None
+        at, left = at + 4 + int.from_bytes(data[at : at + 4], "big"), left - 1
+    return at if at <= len(data) else None
+
+
+def begins(text: str, start: int) -> bool:
+    """Whether base64 may begin there: not within a run, but for the letter of an escape."""
+    return start == 0 or text[start - 1] not in _INNER or (text[start - 2 : start - 1] == "\\" and text[start - 1] in "nrt")
+
+
+def letters(text: str, start: int, n: int | None = None) -> tuple[str, int]:
+    """The first n base64 letters from start (all, if None), joined over breaks, in the standard alphabet; the end of the last."""
+    out, at, end = [], start, start
+    while (n is None or n > 0) and (m := _PIECE.match(text, at)):
+        piece = m[0][:n]
+        out.append(piece)
+        at = end = at + len(piece)
+        n = None if n is None else n - len(piece)
+        if gap := _BREAK.match(text, at):
+            at = gap.end()
+        else:
+            break
+    return "".join(out).replace("-", "+").replace("_", "/"), end
+
+
+def take(text: str, start: int, size: int) -> tuple[bytes | None, int]:
+    """The bytes of so long an encoding from start, and the end of its base64 with the padding; None where the text has fewer."""
+    n = -(-4 * size // 3)
+    if n > len(text) - start:
+        return None, start
+    found, end = letters(text, start, n)
+    return (decoded(found), _PADDING.match(text, end).end()) if len(found) == n else (None, start)
+
+
+def base64_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of keys in base64, wrapped or not, in either alphabet; how far one goes is read from its own lengths."""
+    out, done = [], 0
+    for m in _DER_START.finditer(text):
+        if m.start() < done or not begins(text, m.start()):
+            continue
+        head = decoded(m[0][:8].replace("-", "+").replace("_", "/"))
+        wide = head[1] & 0x7F if head[1] & 0x80 else 0
+        if wide > 4:
+            continue
+        size = 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
+        data, end = take(text, m.start(), size)
+        if data and is_key(data):
+            out.append((m.start(), end, "der"))
+            done = end
+    at = text.find(_OPENSSH_START)
+    while at >= 0:
+        if begins(text, at):
+            found, _ = letters(text, at)
+            data, end = decoded(found[: len(found) // 4 * 4]), at
+            if size := data and openssh_length(data):
+                data, end = take(text, at, size)
+            if end == at:  # cut short, or its last letters fill no four
+                found, end = letters(text, at, len(_PIECE.match(text, at)[0]))
+                data, end = decoded(found), _PADDING.match(text, end).end()
+            if data and is_openssh(data):
+                out.append((at, end, "openssh"))
+        at = text.find(_OPENSSH_START, at + 1)
+    return out
+
+
 def is_signed_token(text: str) -> bool:
     """Header and payload of a compact signed token are JSON objects, the header names an algorithm."""
     parts = [decoded(x, url=True) for x in text.split(".")]
@@ -120,16 +206,11 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[0])]
     if "-----BEGIN" in text:
         for m in _PEM.finditer(text):
-            body = m[2].rpartition("\n\n")[2] if ":" in m[2] else m[2]
-            data = decoded(body)
+            body = _LINE_END.sub("\n", m[2]).replace("\\", "")
+            data = decoded(re.split(r"\n[ \t]*\n", body)[-1] if ":" in body else body)
             if data and (is_key(data) or is_openssh(data) or "ENCRYPTED" in m[0] and der(data)):
                 out.append((m.start(), m.end(), "pem"))
-    for m in _BASE64.finditer(text):
-        data = decoded(m[0])
-        if data and data[:1] == b"0" and is_key(data):
-            out.append((m.start(), m.end(), "der"))
-        elif data and is_openssh(data):
-            out.append((m.start(), m.end(), "openssh"))
+    out += base64_spans(text)
     for m in _ANY_HEX.finditer(text):
         if m[0][:2] == "30" and is_key(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), "derhex"))
