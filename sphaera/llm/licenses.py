@@ -6,7 +6,7 @@ there; postings of one template that agree on where the template would start are
 and a start that gathers enough of the template's rarity is reported if the file also holds
 the template's mandatory key phrase.  Plain phrases give the base labels beside that.
 
-DataFrame functions only.  The index is a constant of a few dozen rows, so its join is
+DataFrame functions only.  The index is a constant of some hundred rows, so its join is
 broadcast; what is shuffled is a row for each aligned start of a file that has rare words.
 """
 
@@ -26,8 +26,8 @@ BASE = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-#: Label, mandatory key phrase and template, in words of public license notices.
-TEMPLATES = (
+#: Label, mandatory key phrase and template, in words of public license notices.
+_NOTICES = (
     ("mit", "mit license", "released under the mit license"),
     ("mit", "permission is hereby granted free of charge", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "apache license version 2", "licensed under the apache license version 2 0"),
@@ -38,11 +38,44 @@ TEMPLATES = (
     ("bsd", "redistribution and use in source and binary forms", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("cc-by-nc", "cc by nc", "licensed under cc by nc 4 0"),
     ("cc-by-sa", "cc by sa", "licensed under cc by sa 4 0"),
-    ("cc-by", "creative commons attribution", "licensed under a creative commons attribution 4 0 international license"),
     ("mpl-2", "mozilla public license", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     ("isc", "permission to use copy modify and or distribute this software", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "free and unencumbered software", "this is free and unencumbered software released into the public domain"),
 )
+#: Names by which a notice gives its license; each is its own key phrase.  {v} is 2 or 3.
+_GPL = (
+    "gnu general public license as published by the free software foundation either version {v}",
+    "gnu general public license as published by the free software foundation version {v}",
+    "gnu general public license version {v}",
+    "gnu general public license v{v}",
+    "gnu general public license v {v}",
+    "gnu general public license gpl version {v}",
+    "gnu general public license {v} 0",
+    "version {v} of the gnu general public license",
+    "gnu gpl version {v}",
+    "gpl version {v}",
+    "gpl v{v}",
+    "gpl v {v}",
+    "gplv{v}",
+    "gpl {v} 0",
+)
+#: The parts of a full Creative Commons name, and what follows it: no name goes on there with a further part.
+_CC = {
+    "cc-by": ("",),
+    "cc-by-nc": (" noncommercial", " non commercial"),
+    "cc-by-sa": (" sharealike", " share alike"),
+    "cc-by-nd": (" noderivatives", " noderivs", " no derivatives", " no derivs"),
+    "cc-by-nc-sa": (" noncommercial sharealike", " non commercial share alike", " noncommercial share alike"),
+    "cc-by-nc-nd": (" noncommercial noderivatives", " noncommercial noderivs", " non commercial no derivatives", " non commercial no derivs"),
+}
+_CC_ENDS = ("4 0", "3 0", "2 5", "2 0", "1 0", "international", "unported", "license", "licence")
+_CC_SHORT = {"cc-by": tuple(f"cc by {v}" for v in _CC_ENDS), "cc-by-nd": ("cc by nd",), "cc-by-nc-sa": ("cc by nc sa",), "cc-by-nc-nd": ("cc by nc nd",)}
+_NAMES = (
+    *((f"gpl-{v}", p.format(v=v)) for v in (3, 2) for p in _GPL),
+    *((label, f"creative commons attribution{part} {end}") for label, parts in _CC.items() for part in parts for end in _CC_ENDS),
+    *((label, p) for label, phrases in _CC_SHORT.items() for p in phrases),
+)
+TEMPLATES = (*_NOTICES, *((label, p, p) for label, p in _NAMES))
 #: Words of a template that are indexed, the words by which their places may be off, and the share of their rarity that must agree.
 RARE, SLACK, COVERAGE = 6, 1, 0.6
 
@@ -74,11 +107,26 @@ def _spaces(text: Column) -> Column:
     return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
 
-def anchors() -> list[str]:
-    """Words of which each phrase has one: of its words over three letters, if any, the one in most phrases, then the longest."""
+def _anchor_of() -> dict[str, str]:
+    """phrase -> a word of it: of those over three letters, if any, the one in most phrases, then the longest; else the longest, letters before figures, then the first."""
     phrases = [p.split() for p, _ in BASE] + [p.split() for _, p, _ in TEMPLATES]
-    count = Counter(w for p in phrases for w in set(p))
-    return sorted({max(p, key=lambda w: (len(w) > 3, count[w], len(w))) for p in phrases})
+    count = Counter(w for p in phrases for w in set(p) if len(w) > 3)
+    return {" ".join(p): max(p, key=lambda w: (len(w) > 3, count[w], len(w), w.isalpha())) for p in phrases}
+
+
+def anchors() -> list[str]:
+    """Words of which each phrase has one."""
+    return sorted(set(_anchor_of().values()))
+
+
+def _phrases(s: Column) -> Column:
+    """The numbers of the templates whose key phrase stands in s; phrases are looked for where their anchor is found."""
+    groups: dict[str, list[Column]] = {}
+    anchor = _anchor_of()
+    for k, (_, p, _) in enumerate(TEMPLATES):
+        groups.setdefault(anchor[p], []).append(F.when(s.contains(f" {p} "), F.lit(k)))
+    none = F.array().cast("array<int>")
+    return F.flatten(F.array(*(F.when(s.contains(w), F.array_compact(F.array(*found))).otherwise(none) for w, found in groups.items())))
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -108,11 +156,10 @@ def template_labels(rows: DataFrame) -> DataFrame:
     index = postings()
     rare = F.array(*(F.lit(w) for w in sorted({w for w, *_ in index})))
     rows = rows.select("doc_id", "s").where("s <> ' '").withColumn("words", F.split(F.trim("s"), " ")).where(F.arrays_overlap("words", rare))
-    phrases = sum((F.when(F.col("s").contains(f" {p} "), F.lit(1 << k)).otherwise(F.lit(0)) for k, (_, p, _) in enumerate(TEMPLATES)), F.lit(0))
-    placed = rows.withColumn("phrases", phrases).where("phrases > 0").select("doc_id", "phrases", F.posexplode("words").alias("i", "word"))
+    placed = rows.withColumn("phrases", _phrases(F.col("s"))).where("size(phrases) > 0").select("doc_id", "phrases", F.posexplode("words").alias("i", "word"))
     values = ", ".join(f"('{w}', {k}, {at}, {weight!r}D)" for w, k, at, weight in index)
     table = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS postings(word, template, at, weight)")
-    hits = placed.join(F.broadcast(table), "word").where(F.expr("(shiftright(phrases, template) & 1) = 1"))
+    hits = placed.join(F.broadcast(table), "word").where(F.expr("array_contains(phrases, template)"))
     starts = hits.select("doc_id", "template", "at", "weight", F.explode(F.sequence(F.col("i") - F.col("at") - SLACK, F.col("i") - F.col("at") + SLACK)).alias("start"))
     once = starts.groupBy("doc_id", "template", "start", "at").agg(F.max("weight").alias("weight"))
     aligned = once.groupBy("doc_id", "template", "start").agg(F.sum("weight").alias("coverage")).where(F.col("coverage") >= COVERAGE)

@@ -133,6 +133,50 @@ def test_op5_places(spark):
     assert got[3][4:] == ("", "gpl-3") and got[4] == (3, 0, None, None, "", "") and got[5] == got[6] == (0, 0, None, None, "", "")
 
 
+GPL = "This program is free software{}you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; {}version {}{}"
+NOTICES = [
+    (GPL.format(": ", "either ", 3, " of the License, or (at your option) any later version."), "gpl-3"),
+    (GPL.format("; ", "either ", 2, "\n * of the License, or (at your option) any later version."), "gpl-2"),
+    (GPL.format("; ", "", 2, "."), "gpl-2"),
+    ("under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "gpl-2"),
+    ("GNU General Public License v3.0", "gpl-3"),
+    ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"),
+    ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"),
+    ("Licensed under the GPLv3", "gpl-3"),
+    ("see version 3 of the GNU General Public License", "gpl-3"),
+    ("SPDX-License-Identifier: LGPL-3.0-only", ""),
+    ("Creative Commons Attribution 4.0 International", "cc-by"),
+    ("licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+    ("the Creative Commons Attribution License", "cc-by"),
+    ("CC BY 4.0", "cc-by"),
+    ("Creative Commons Attribution-NonCommercial 4.0 International", "cc-by-nc"),
+    ("Creative Commons Attribution-ShareAlike 4.0", "cc-by-sa"),
+    ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", "cc-by-sa"),
+    ("Creative Commons Attribution-NoDerivatives 4.0 International", "cc-by-nd"),
+    ("Creative Commons Attribution-NoDerivs 3.0 Unported", "cc-by-nd"),
+    ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "cc-by-nc-sa"),
+    ("Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International", "cc-by-nc-nd"),
+    ("Creative Commons Attribution 4.0. Creative Commons Attribution-ShareAlike 4.0.", "cc-by,cc-by-sa"),
+]
+
+
+def test_op5_ordinary_notices(spark):
+    docs = spark.createDataFrame([(k, f"Some words before. {text} Some words after.") for k, (text, _) in enumerate(NOTICES)], "doc_id long, text string")
+    assert {NOTICES[r.doc_id]: r.labels for r in licenses.scan(docs).collect()} == {n: n[1] for n in NOTICES}
+
+
+def test_op5_notices_as_the_sql(spark):
+    import duckdb
+    import pandas as pd
+
+    from tests.compare import differences
+
+    docs = [(k, f"Some words before. {text} Some words after.") for k, (text, _) in enumerate(NOTICES)]
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame(docs, columns=["doc_id", "text"]))
+    assert differences(licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")), queries.ORACLE_SQL["op5_license_scan"], con) == ""
+
+
 def test_op6(spark, sf_dir, texts):
     model = unigram.Unigram.from_model(queries.tokenizer_path("piece_bpe_32k.model"))
     memo = model.memo()
