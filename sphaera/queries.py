@@ -302,12 +302,22 @@ def merged_vertices(spark, sf_dir):
 
 @query(with_(BOX) + "SELECT mesh_id, b AS body, 12 AS faces FROM box, (VALUES (0), (1)) AS t(b) WHERE mesh_id % 10 = 0")
 def split_bodies(spark, sf_dir):
-    """Two boxes in one mesh, split by their adjacency."""
-    f = mesh.boxes(box_bounds(spark, sf_dir).where("mesh_id % 10 = 0"))[1]
+    """Two boxes in one mesh, split by their adjacency; a tenth of the meshes."""
+    return _split_pairs(box_bounds(spark, sf_dir).where("mesh_id % 10 = 0"))
+
+
+def _split_pairs(bounds: DataFrame) -> DataFrame:
+    f = mesh.boxes(bounds)[1]
     two = f.union(f.select("mesh_id", F.col("fid") + 12, *(F.col(c) + 8 for c in "abc")))
     return topology.bodies(two).groupBy("mesh_id", "body").agg(F.count("*").cast("int").alias("faces"))
 
 
+@query(with_(BOX) + "SELECT mesh_id, b AS body, 12 AS faces FROM box, (VALUES (0), (1)) AS t(b)")
+def split_all_bodies(spark, sf_dir):
+    """As split_bodies, of every mesh."""
+    return _split_pairs(box_bounds(spark, sf_dir))
+
+
 @query(with_(BOX) + "SELECT p.mesh_id % 97 AS mesh_id, p.mesh_id AS p, q.mesh_id AS q FROM box p JOIN box q ON p.mesh_id % 97 = q.mesh_id % 97 AND p.mesh_id < q.mesh_id WHERE " + " AND ".join(f"p.lo_{x} < q.hi_{x} AND q.lo_{x} < p.hi_{x}" for x in "xyz"))
 def overlapping_boxes(spark, sf_dir):
     b = box_bounds(spark, sf_dir)
