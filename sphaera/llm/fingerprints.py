@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import documents, durable
 
-SAMPLES = 16
+#: The standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
+SAMPLES = 64
 WORD_GAP = "[ \\t-\\r]+"
 
 

@@ -224,6 +224,18 @@ def test_op8(spark, sf_dir, texts):
     assert abs(off.mean()) < 0.02 and np.sqrt((off**2).mean()) < 0.6 / np.sqrt(fingerprints.SAMPLES)
 
 
+def test_op8_error_is_small(spark, sf_dir, texts):
+    """near_edited against the exact similarity, whatever the number of samples."""
+    got, ids = rows(spark, sf_dir, "op8_fingerprints"), sorted(texts)
+    off = []
+    for k, i in enumerate(ids):
+        n = len(texts[i]) // 4
+        off.append(got[i].near_edited - weighted_jaccard(texts[i], texts[i][: len(texts[i]) - n] + texts[ids[(k + 1) % len(ids)]][:n]))
+    off = np.array(off)
+    print("root mean square", np.sqrt((off**2).mean()), "share over 0.1", (abs(off) > 0.1).mean())
+    assert np.sqrt((off**2).mean()) < 0.075 and (abs(off) > 0.1).mean() < 0.2
+
+
 def test_op9(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in queries.op9_warc_fixity(spark, sf_dir).collect()}
