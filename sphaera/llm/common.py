@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a generation of a worker's memo.
-MEMO_ENTRIES = 300_000
+#: Bytes of a worker's memo, both generations together.
+MEMO_BYTES = 32 << 20
+#: What a dictionary's entry takes beside its key and value.
+ENTRY_BYTES = 100
 #: Rows that a worker takes at once.
 BATCH_ROWS = 500
 
@@ -19,15 +23,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """The rows of df, written once to the shared checkpoint folder, their lineage cut.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or the context's checkpoint folder.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset,
-    as in tests on one machine, a temporary folder takes its place.
+    Only on one machine (a master ``local``) a temporary folder takes its place where none is set.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The rows of df, written once to the shared checkpoint folder, their lineage cut."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -51,21 +64,26 @@ def arrow_map(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], sche
 
 
 class Memo:
-    """word -> value, learnt by ``learn(list of words)`` in one batch.
+    """word -> value (a number or bytes), learnt by ``learn(list of words)`` in one batch.
 
-    Two generations of up to ``entries`` words: when the young one is full it becomes the
-    old one, whose words come back as they are met, so frequent words are learnt once.
+    Two generations of up to half of ``most`` bytes: when the young one is full it becomes the
+    old one, whose words come back as they are met, so frequent words are learnt once.  What
+    one call needs is kept whatever it takes, until the next.
     """
 
-    def __init__(self, learn: Callable[[list], Iterable], entries: int = MEMO_ENTRIES):
-        self.learn, self.entries, self.known, self.old = learn, entries, {}, {}
+    def __init__(self, learn: Callable[[list], Iterable], most: int = MEMO_BYTES):
+        self.learn, self.most, self.known, self.old, self.size = learn, most, {}, {}, 0
+
+    def _keep(self, word, value) -> None:
+        self.known[word] = value
+        self.size += getsizeof(word) + getsizeof(value) + ENTRY_BYTES
 
     def know(self, words: Iterable) -> None:
         missing = set(words).difference(self.known)
         if not missing:
             return
-        if len(self.known) + len(missing) > self.entries:
-            self.old, self.known = self.known, {}
+        if self.size > self.most // 2:
+            self.old, self.known, self.size = self.known if self.size <= self.most else {}, {}, 0
             missing = set(words)
         new = []
         for w in missing:
@@ -73,8 +91,9 @@ class Memo:
             if value is None:
                 new.append(w)
             else:
-                self.known[w] = value
-        self.known.update(zip(new, self.learn(new), strict=True))
+                self._keep(w, value)
+        for w, value in zip(new, self.learn(new), strict=True):
+            self._keep(w, value)
 
     def values(self, words: list) -> Iterator:
         """The values of the words, in their order."""
@@ -85,8 +104,8 @@ class Memo:
 _kept: dict = {}
 
 
-def worker_memo(key: tuple, make: Callable[[], Memo]) -> Memo:
-    """A memo that lasts beyond a task.  A worker keeps one at a time: another operator's tasks drop it."""
+def worker_memo(key: tuple, make: Callable):
+    """A memo, or what holds one, that lasts beyond a task.  A worker keeps one at a time: another operator's tasks drop it."""
     if key not in _kept:
         _kept.clear()
         _kept[key] = make()

@@ -19,74 +19,112 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, documents, durable, small, worker_memo
-from .tokens import balanced, load_tokenizer
+from .tokens import balanced, load_tokenizer, setup
 
 SIZE = 2048
 END_ID = 1
 OPEN = 64
 #: Partitions whose leftovers meet in one group.
-FAN_IN = 32
-#: Words of a generation of a worker's memo of ids, about 200 bytes each.
-WORDS_KEPT = 450_000
+FAN_IN = 8
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, sequence long, offset long, full boolean"
 _FIELDS = [x.split()[0] for x in PIECES.split(", ")]
 
+#: How a tokenizer's file says that it lower-cases, drops white space and cuts letters, single digits and marks apart.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
 def _core(word: str) -> tuple[str, str]:
-    """A word without case and the comma or full stop after it, which this vocabulary's pre-tokens are apart from letters."""
+    """A word without case and the comma or full stop after it, which such a vocabulary's pre-tokens are apart from letters."""
     body, end = (word[:-1], word[-1]) if word[-1:] in (",", ".") else (word, "")
     if not body.isalpha() or "\u03a3" in body:  # only the capital sigma's lower case depends on what is around it
         return word, ""
     return body.lower(), end
 
 
-def _ids(path: str) -> Memo:
-    """word -> its ids as little-endian unsigned 32-bit numbers; kept for a worker's later tasks."""
-
-    def make() -> Memo:
-        tokenizer = load_tokenizer(path)
-
-        def encode(words: list[str]) -> Iterator[bytes]:
-            for batch in balanced(words):
-                for x in tokenizer.encode_batch_fast(batch, add_special_tokens=False):
-                    yield np.array(x.ids, "<u4").tobytes()
-
-        cores, ends = Memo(encode), dict(zip(("", ",", "."), encode(["", ",", "."]), strict=True))
-
-        def learn(words: list[str]) -> Iterator[bytes]:
-            split = [_core(w) for w in words]
-            return (ids + ends[end] for ids, (_, end) in zip(cores.values([c for c, _ in split]), split, strict=True))
+class Ids:
+    """The ids of texts, as little-endian unsigned 32-bit numbers, by the tokenizer file at path."""
+
+    def __init__(self, path: str):
+        about = setup(path)
+        self.tokenizer = load_tokenizer(path)
+        first, *rest = (about["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        pieces = first.get("pattern") == {"Regex": WORD_PATTERN} and [x["type"] for x in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
+        self.by_words = about["plain"] and about["normalizer"] == WORD_NORMALIZER and pieces
+        self.ends = dict(zip(("", ",", "."), self._encoded(["", ",", "."]), strict=True)) if self.by_words else {}
+        self.memo = Memo(self._learn)
+
+    def _encoded(self, texts: list[str]) -> Iterator[bytes]:
+        for batch in balanced(texts):
+            for x in self.tokenizer.encode_batch_fast(batch, add_special_tokens=False):
+                yield np.array(x.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        """ASCII letters are one pre-token, so they go straight to the merges; the rest to the library."""
+        out, rest, tokenize = [b""] * len(words), [], self.tokenizer.model.tokenize
+        for k, word in enumerate(words):
+            core, end = _core(word)
+            if core.isascii() and core.isalpha():
+                out[k] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(core)]) + self.ends[end]
+            else:
+                rest.append((k, core, end))
+        for (k, _, end), ids in zip(rest, self._encoded([core for _, core, _ in rest]), strict=True):
+            out[k] = ids + self.ends[end]
+        return out
+
+    def of(self, text: str | None) -> bytes:
+        """The ids of a text and END_ID.  Where the vocabulary drops white space, words are encoded apart at spaces and line ends."""
+        text = text or ""
+        ids = b"".join(self.memo.values(text.replace("\n", " ").split(" "))) if self.by_words else next(self._encoded([text]))
+        return ids + END_ID.to_bytes(4, "little")
+
+
+def encoder(path: str) -> Ids:
+    """Kept for a worker's later tasks."""
+    return worker_memo(("ids", path), lambda: Ids(path))
 
-        return Memo(learn, WORDS_KEPT)
 
-    return worker_memo(("ids", path), make)
-
-
-def document_ids(text: str | None, memo: Memo) -> bytes:
-    """The ids of a text and END_ID.  The vocabulary drops white space, so words can be encoded apart at spaces and line ends."""
-    return b"".join(memo.values((text or "").replace("\n", " ").split(" "))) + END_ID.to_bytes(4, "little")
+class Windows:
+    """At most ``most`` open windows of ``size`` tokens (None: any number); ``emitted`` gets the lists of pieces of those that were closed.
 
+    Open windows lie in lists by how full they are; the bits of ``levels`` say which lists hold one.
+    """
 
-class Windows:
-    """At most ``most`` open windows of ``size`` tokens; ``emitted`` gets the lists of pieces of those that were closed."""
+    def __init__(self, size: int, most: int | None):
+        self.size, self.most, self.count, self.levels, self.by_level, self.emitted = size, most, 0, 0, {}, []
 
-    def __init__(self, size: int, most: int):
-        self.size, self.most, self.open, self.emitted = size, most, [], []
+    def _take(self, level: int) -> list[tuple]:
+        """The pieces of an open window of this level, which is open no more."""
+        held = self.by_level[level]
+        pieces = held.pop()
+        if not held:
+            del self.by_level[level]
+            self.levels ^= 1 << level
+        self.count -= 1
+        return pieces
 
     def place(self, piece: tuple, length: int) -> None:
         """Into the open window that has the least room left after it."""
-        best = max((w for w in self.open if w[0] + length <= self.size), key=lambda w: w[0], default=None)
-        if best is None:
-            if len(self.open) >= self.most:
-                fullest = max(range(len(self.open)), key=lambda k: self.open[k][0])
-                self.emitted.append(self.open.pop(fullest)[1])
-            best = [0, []]
-            self.open.append(best)
-        best[0] += length
-        best[1].append(piece)
-        if best[0] == self.size:
-            self.open.remove(best)
-            self.emitted.append(best[1])
+        fitting = self.levels & ((1 << max(0, self.size - length + 1)) - 1)
+        level, pieces = 0, []
+        if fitting:
+            level = fitting.bit_length() - 1
+            pieces = self._take(level)
+        elif self.most is not None and self.count >= self.most:
+            self.emitted.append(self._take(self.levels.bit_length() - 1))
+        pieces.append(piece)
+        level += length
+        if level == self.size:
+            self.emitted.append(pieces)
+            return
+        self.by_level.setdefault(level, []).append(pieces)
+        self.levels |= 1 << level
+        self.count += 1
+
+    def left(self) -> list[list[tuple]]:
+        """The pieces of the windows that are still open, fullest first."""
+        return [w for level in sorted(self.by_level, reverse=True) for w in self.by_level[level]]
 
 
 def _rows(windows: list[list[tuple]], task: int, first: int, full: bool) -> list[tuple]:
@@ -110,11 +148,11 @@ def _packed(df: DataFrame, path: str, size: int, most: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        memo, task, n = _ids(path), TaskContext.get().partitionId(), 0
+        ids_of, task, n = encoder(path).of, TaskContext.get().partitionId(), 0
         windows = Windows(size, most)
         for batch in small(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = document_ids(text, memo)
+                ids = ids_of(text)
                 total = len(ids) // 4
                 for start in range(0, total, size):
                     part = ids[4 * start : 4 * (start + size)]
@@ -122,20 +160,20 @@ def _packed(df: DataFrame, path: str, size: int, most: int) -> DataFrame:
             yield _batch(_rows(windows.emitted, task, n, True))
             n += len(windows.emitted)
             windows.emitted = []
-        yield _batch(_rows([w[1] for w in windows.open], task, n, False))
+        yield _batch(_rows(windows.left(), task, n, False))
 
     return df.mapInArrow(run, PIECES)
 
 
-def _merged(size: int, most: int):
+def _merged(size: int):
     """The pieces of one group's leftovers, packed anew, long ones first."""
 
     def f(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", "task", "sequence", "offset"], ascending=[False, True, True, True])
-        windows = Windows(size, max(most, len(pdf)))
+        windows = Windows(size, None)
         for p in zip(*(pdf[c].tolist() for c in _FIELDS[:5])):
             windows.place(p, p[2])
-        rows = _rows(windows.emitted + [w[1] for w in windows.open], -1 - int(key[0]), 0, True)
+        rows = _rows(windows.emitted + windows.left(), -1 - int(key[0]), 0, True)
         return pd.DataFrame(rows, columns=_FIELDS)
 
     return f
@@ -144,21 +182,23 @@ def _merged(size: int, most: int):
 def pack(docs: DataFrame, path: str, size: int = SIZE, open_windows: int = OPEN, fan_in: int = FAN_IN) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece of each row of docs (doc_id, text, ...).
 
-    path is a tokenizer file that drops white space.  A null or empty text has the end id
+    path is a tokenizer file; where it drops white space as word_bpe_49k.json does, distinct
+    words are encoded once, else texts are encoded whole.  A null or empty text has the end id
     only.  Each id lies in one piece; a sequence's pieces lie gapless from offset 0 and hold
-    at most ``size`` ids.  Rows that repeat are each packed (a repeated doc_id repeats its
-    pieces); other columns are ignored; an empty table gives no rows.
+    at most ``size`` ids.  Rows that repeat, or have no doc_id, are each packed (a repeated
+    doc_id repeats its pieces); other columns are ignored; an empty table gives no rows.
 
-    A group of the last step holds the leftovers of ``fan_in`` partitions: at most
-    ``fan_in * open_windows`` windows, at any size of the input.
+    A group of the last step holds the leftovers of ``fan_in`` partitions, ``fan_in *
+    open_windows`` windows; as a piece has an id at least, these are at most
+    ``fan_in * open_windows * size`` pieces (a million rows), at any size of the input.
     """
     pieces = durable(_packed(documents(docs), path, size, open_windows))
-    left = pieces.where("NOT full").groupBy((F.floor(F.col("task") / fan_in)).alias("grp")).applyInPandas(_merged(size, open_windows), PIECES)
+    left = pieces.where("NOT full").groupBy((F.floor(F.col("task") / fan_in)).alias("grp")).applyInPandas(_merged(size), PIECES)
     every = pieces.where("full").unionByName(left)
     return every.select(*_FIELDS[:5], (F.shiftleft("task", 40) + F.col("sequence")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, path: str, size: int = SIZE) -> DataFrame:
-    """The packed sequences with their pieces: sequence_id, used, pieces (array of structs in order of offset)."""
+    """The packed sequences of docs, as ``pack`` has them (no rows for an empty table), with their pieces: sequence_id, used, pieces (array of structs in order of offset)."""
     fields = ("offset", "doc_id", "start", "length", "ids_crc32", "doc_tokens")
     return pack(docs, path, size).groupBy("sequence_id").agg(F.sum("length").alias("used"), F.sort_array(F.collect_list(F.struct(*fields))).alias("pieces"))
