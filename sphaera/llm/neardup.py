@@ -14,12 +14,18 @@ How the links are found:
    such pair shares a key.  At a similarity of exactly 0.75 a pair without a common key has
    a probability of about 4e-8 (0.367 ** 17); every key's whole bucket is used, whatever its size.
 3. The members of the buckets with the same smallest member form a group: (group, member)
-   rows are a few per near copy, and two documents that share a key share a group.  Each
-   member is compared with a few leaders of its group (linear in the group), the links
-   found are contracted, and the groups that still hold several components compare their
-   members across components.  Sizes, sketches and then the full shingle sets are tested
-   inside those joins, so that only confirmed links leave them.  Within a component no
-   further link can change the result, so nothing is lost, and no group is capped.
+   rows are a few per near copy, and two documents that share a key share a group.  A group
+   is dealt out in blocks of about BLOCK members.  Each member is compared with a few leaders
+   of its group (linear in the group), the links found are contracted, and the groups that
+   still hold several components compare their members across components.  Within a component
+   no further link can change the result.  Groups of one block compare all of them.  Larger
+   ones, such as unlike documents with a passage in common, are joined on the rarest
+   shingles of each set instead: two sets of the wanted similarity share one among the
+   ``n - ceil(n * percent / 100) + 1`` shingles that fewest of these sets have, so a common
+   passage joins nothing; a shingle that many have there is dealt out in pairs of blocks.
+   Sizes and sketches are tested inside those joins, the full shingle sets last: pairs
+   whose sketches differ in more than SKETCH_APART bits are beyond the signature distance
+   (at a similarity of 0.75 that is over six deviations off).  No group is capped.
 4. Components come from alternating star contraction, its state in the checkpoint folder.
 """
 
@@ -47,6 +53,8 @@ SKETCHES = ("s0", "s1", "s2", "s3")
 SKETCH_APART = 74
 #: Members of a group, besides its smallest, with which all its members are compared first.
 LEADERS = 4
+#: Members of a group, or of those that share a shingle, that meet in one task.
+BLOCK = 512
 PLACES = 128
 #: Up to so many ids (8 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -114,7 +122,7 @@ def _identity(s: np.ndarray) -> tuple[int, int]:
 
 
 def _sets(df: DataFrame, words: int) -> DataFrame:
-    """doc_id -> its set's identity, size, signature and sketch."""
+    """doc_id -> its set's identity, size, signature and sketch; a row for each row."""
 
     def run(batches):
         drop_memos()
@@ -143,27 +151,69 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
+    """The hashes of the sets of docs, by their identity."""
+
     def run(batches):
         drop_memos()
         memo = _word_memo()
         for batch in small(batches):
             every = [shingles(t, memo, words) for t in batch.column(1).to_pylist()]
             key = np.array([_identity(s) for s in every], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([s.view(np.int64) for s in every], pa.list_(pa.int64()))], ["rep", "set0", "set1", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([s.view(np.int64) for s in every], pa.list_(pa.int64()))], ["set0", "set1", "hashes"])
+
+    return docs.mapInArrow(run, "set0 long, set1 long, hashes array<long>").dropDuplicates(["set0", "set1"])
 
-    return docs.mapInArrow(run, "rep long, set0 long, set1 long, hashes array<long>").dropDuplicates(["rep", "set0", "set1"])
+
+def _near(percent: int) -> F.Column:
+    """What a row's size and sketch and another's, whose columns start with o_, allow; the cheap tests."""
+    apart = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(f"o_{s}"))) for s in SKETCHES)
+    return (100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")) & (apart <= SKETCH_APART)
 
 
 def _linked(percent: int) -> F.Column:
     """A row and another row, whose columns start with o_, are linked; the cheap tests come first."""
-    apart = sum(F.bit_count(F.col(s).bitwiseXOR(F.col(f"o_{s}"))) for s in SKETCHES)
-    least, most = F.least("n", "o_n"), F.greatest("n", "o_n")
     common = F.size(F.array_intersect("hashes", "o_hashes"))
-    return (100 * least >= percent * most) & (apart <= SKETCH_APART) & ((100 + percent) * common >= percent * (F.col("n") + F.col("o_n")))
+    return _near(percent) & ((100 + percent) * common >= percent * (F.col("n") + F.col("o_n")))
+
+
+def _other(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, *(F.col(c).alias(f"o_{c}") for c in rows.columns if c not in keys))
 
 
-def _other(rows: DataFrame) -> DataFrame:
-    return rows.select("first", *(F.col(c).alias(f"o_{c}") for c in rows.columns if c != "first"))
+def bounded(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """rows, to be broadcast if they are ``most`` at most; else they are joined by a shuffle.  Written once, so that they can be counted."""
+    rows = durable(rows)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
+    """rows (key, rep, ...) with the number of blocks of their key and each row's block."""
+    large = bounded(rows.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size") > block))
+    blocks = F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
+    return rows.join(large, key, "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).drop("size")
+
+
+def _by_rare_shingles(rows: DataFrame, percent: int, block: int) -> DataFrame:
+    """(a, b) of the linked pairs of rows (rep, component, n, sketches, hashes) that are of different components.
+
+    Every such pair shares one of the shingles that lie first in either set, by how many of the rows have them.
+    """
+    rows = durable(rows.dropDuplicates(["rep"]))
+    light = [c for c in rows.columns if c != "hashes"]
+    single = rows.select("rep", F.explode("hashes").alias("h"))
+    frequent = single.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    # a shingle of one row alone can't be shared, but is first in the order, so it counts among the first ones
+    held = single.join(frequent, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
+    first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("hs"))
+    chosen = rows.select(*light).join(held, "rep").where(first > 0).select(*light, F.explode(F.expr("slice(hs, 1, greatest(1, int(least(size(hs), n - ceil(n * %d / 100) + 1 - (n - size(hs))))))" % percent)).alias("x"))
+    chosen = durable(_dealt(chosen.select(*light, F.col("x.h").alias("h")), "h", block))
+    # each block meets itself and every later one: the left rows go to (own, later), the right ones to (earlier, own)
+    left = chosen.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
+    right = chosen.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("block")))).withColumn("other", F.col("block")).drop("block").withColumnRenamed("own", "block")
+    met = left.join(_other(right.drop("blocks"), "h", "block", "other"), ["h", "block", "other"])
+    pairs = met.where((F.col("rep") != F.col("o_rep")) & (F.col("component") != F.col("o_component")) & _near(percent)).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+    full = rows.select("rep", "n", *SKETCHES, "hashes")
+    return pairs.join(full.withColumnRenamed("rep", "a"), "a").join(_other(full).withColumnRenamed("o_rep", "b"), "b").where(_linked(percent)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -188,61 +238,106 @@ def components(edges: DataFrame) -> DataFrame:
         edges = durable(small.where("u != v").distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text, ...).
+def _labelled(docs: DataFrame, percent: int, words: int, block: int) -> tuple[DataFrame, bool]:
+    """doc_id, set0, set1, n_shingles, rid, component for each row of docs, and whether the doc_ids tell the rows apart.
 
-    component_id is the smallest doc_id reachable over links, kept marks that row.  A null
-    or empty text has no shingles and is linked with nothing; fewer than ``words`` words
-    make one shingle of the whole sequence.  Rows that repeat a doc_id are each returned, with
-    their own n_shingles; where their texts differ, links count for the doc_id's set with the
-    smallest identity.  Other columns are ignored; an empty table gives no rows.
+    rid is the row's doc_id if they do, else a number of its own; component is the smallest rid reachable.
     """
-    docs = documents(docs)
-    every = sets = durable(_sets(docs, words))
+    sets = durable(_sets(docs, words))
     rows = sets.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
-    if rows.n != rows.ids:
-        rest = [c for c in sets.columns if c != "doc_id"]
-        sets = durable(sets.groupBy("doc_id").agg(F.min(F.struct("set0", "set1", *rest[2:])).alias("s")).select("doc_id", "s.*"))
-    classes = durable(sets.where("n_shingles > 0").groupBy("set0", "set1").agg(F.min("doc_id").alias("rep"), *(F.first(x).alias(y) for x, y in (("n_shingles", "n"), ("sig", "sig"), *((s, s) for s in SKETCHES)))))
+    unique = rows.n == rows.ids
+    sets = sets.withColumn("rid", F.col("doc_id") if unique else F.monotonically_increasing_id())
+    classes = durable(sets.where("n_shingles > 0").groupBy("set0", "set1").agg(F.min("rid").alias("rep"), *(F.first(x).alias(y) for x, y in (("n_shingles", "n"), ("sig", "sig"), *((s, s) for s in SKETCHES)))))
     lowest = _keys(classes).groupBy("key").agg(F.min("rep").alias("first"))
     pairs = _keys(classes).join(lowest, "key").where("first != rep")
     groups = durable(pairs.select("first", F.explode(F.array("rep", "first")).alias("rep")).distinct())
 
-    wanted = durable(groups.select(F.col("rep").alias("doc_id")).distinct())
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    sets_of = _full_sets(docs.join(wanted, "doc_id", "left_semi"), words)
-    members = durable(groups.join(classes.select("rep", "set0", "set1", "n", *SKETCHES).join(sets_of, ["rep", "set0", "set1"]).drop("set0", "set1"), "rep"))
+    wanted = groups.select(F.col("rep").alias("rid")).distinct()
+    wanted = wanted.select(F.col("rid").alias("id")) if unique else sets.select("rid", F.col("doc_id").alias("id")).join(wanted, "rid").select("id").distinct()
+    sets_of = _full_sets(docs.join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), words)
+    dealt = durable(_dealt(groups, "first", block))
+    members = durable(dealt.join(classes.select("rep", "set0", "set1", "n", *SKETCHES).join(sets_of, ["set0", "set1"]).drop("set0", "set1"), "rep"))
 
     places = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
     leaders = groups.groupBy("first").agg(*places).select("first", F.explode(F.array("first", *(f"l{k}" for k in range(LEADERS)))).alias("rep")).distinct()
-    led = _other(members.join(leaders, ["first", "rep"]))
-    links = members.join(led, "first").where((F.col("rep") != F.col("o_rep")) & _linked(percent))
+    led = members.join(leaders, ["first", "rep"]).drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    links = members.join(_other(led, "first", "block"), ["first", "block"]).where((F.col("rep") != F.col("o_rep")) & _linked(percent))
     labels = components(links.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
 
-    placed = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("first").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("first")
+    placed = dealt.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("first", "rep", "component")
+    mixed = bounded(placed.groupBy("first").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("first"))
     open_ = members.join(placed, ["first", "rep"]).join(mixed, "first")
-    across = open_.join(_other(open_), "first").where((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")) & _linked(percent))
-    labels = components(labels.toDF("a", "b").union(across.select(F.col("rep").alias("a"), F.col("o_rep").alias("b"))))
+    alone = open_.where("blocks = 1").drop("block", "blocks")
+    across = alone.join(_other(alone, "first"), "first").where((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")) & _linked(percent))
+    found = labels.toDF("a", "b").union(across.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
+    if not dealt.where("blocks > 1").isEmpty():
+        found = found.union(_by_rare_shingles(open_.where("blocks > 1").drop("first", "block", "blocks"), percent, block))
+    labels = components(found)
 
-    ends = classes.select("set0", "set1", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set0", "set1", F.coalesce("component", "rep").alias("component_id"))
-    out = sets.select("doc_id", "set0", "set1", "n_shingles").join(ends, ["set0", "set1"], "left")
-    if every is not sets:
-        out = every.select("doc_id", "n_shingles").join(out.drop("n_shingles"), "doc_id")
-    own = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (own == F.col("doc_id")).alias("kept"))
+    ends = classes.select("set0", "set1", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set0", "set1", F.coalesce("component", "rep").alias("end"))
+    out = sets.select("doc_id", "set0", "set1", "n_shingles", "rid").join(ends, ["set0", "set1"], "left").withColumn("component", F.coalesce("end", "rid"))
+    return out.drop("end"), unique
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS) -> DataFrame:
-    """The rows of docs that are first of their component, with their columns; one row where a doc_id repeats.
+def _kept(docs: DataFrame, percent: int, words: int, block: int) -> tuple[DataFrame, bool]:
+    """The rows of _labelled with component_id (a doc_id, if any) and first: whether the row is the one of its component to keep."""
+    rows, unique = _labelled(docs, percent, words, block)
+    if unique:
+        return rows.withColumn("component_id", F.col("component")).withColumn("first", F.col("component") == F.col("doc_id")), True
+    rows = durable(rows)
+    ids = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("lead"))
+    return rows.join(ids, "component").withColumn("first", F.col("lead.rid") == F.col("rid")).drop("lead"), False
 
-    The ids that go are broadcast behind a count, so that texts aren't shuffled once more;
-    beyond it they are joined by a shuffle.
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text, ...).
+
+    component_id is the smallest doc_id reachable over links, kept marks the rows of that
+    doc_id.  A null or empty text has no shingles and is linked with nothing; fewer than
+    ``words`` words make one shingle of the whole sequence.  Every row takes part with its own
+    text, also where a doc_id repeats.  A row without a doc_id takes part too; where no row of
+    its component has one, component_id is null and one of these rows is kept.  Other
+    columns are ignored; an empty table gives no rows.
+    """
+    rows, _ = _kept(documents(docs), percent, words, block)
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull() & F.col("first")).alias("kept"))
+
+
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+    """One row of docs for each component, with its columns: that of the smallest doc_id; a text without words is a component.
+
+    What goes is broadcast behind a count, so that texts aren't shuffled once more; beyond it
+    they are joined by a shuffle.  Where doc_ids repeat or are null, rows are told apart by
+    doc_id and shingle set, so unlike texts of one doc_id both stay; of rows that agree in both
+    one stays.  An empty table gives no rows.
     """
-    gone = durable(near_duplicates(docs, percent, words).where("NOT kept").select("doc_id").distinct())
-    if gone.count() <= BROADCAST_IDS:
-        gone = F.broadcast(gone)
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rows = docs.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
-    return out if rows.n == rows.ids else out.dropDuplicates(["doc_id"])
+    rows, unique = _kept(documents(docs), percent, words, block)
+    if unique:
+        gone = bounded(rows.where("NOT first").select("doc_id"))
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = bounded(rows.where("n_shingles > 0").groupBy("doc_id", "set0", "set1").agg(F.max("first").alias("f")).where("NOT f").select(F.col("doc_id").alias("gone_id"), F.col("set0").alias("gone0"), F.col("set1").alias("gone1")))
+    names = {c: f"_{k}" for k, c in enumerate(docs.columns)}  # the columns' names may clash with ours
+    plain = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("t"), *(F.col(c).alias(names[c]) for c in docs.columns))
+    known = _with_identity(plain, words)
+    rest = known.join(gone, F.col("id").eqNullSafe(F.col("gone_id")) & (F.col("s0") == F.col("gone0")) & (F.col("s1") == F.col("gone1")), "left_anti")
+    own = F.when(F.col("empty"), F.monotonically_increasing_id())  # texts without words are linked with nothing, not even a copy
+    return rest.withColumn("own", own).dropDuplicates(["id", "s0", "s1", "own"]).select(*(F.col(names[c]).alias(c) for c in docs.columns))
+
+
+def _with_identity(rows: DataFrame, words: int) -> DataFrame:
+    """rows (id, t, ...) without t, with the identity of the text's set and whether it is empty."""
+    rest = [c for c in rows.columns if c != "t"]
+
+    def run(batches):
+        drop_memos()
+        memo = _word_memo()
+        for batch in small(batches):
+            every = [shingles(t, memo, words) for t in batch.column(batch.schema.get_field_index("t")).to_pylist()]
+            key = np.array([_identity(s) for s in every], np.int64).reshape(-1, 2)
+            columns = [batch.column(batch.schema.get_field_index(c)) for c in rest]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([len(s) == 0 for s in every], pa.bool_())], [*rest, "s0", "s1", "empty"])
+
+    schema = rows.select(*rest).schema
+    for name, kind in (("s0", "long"), ("s1", "long"), ("empty", "boolean")):
+        schema = schema.add(name, kind)
+    return rows.mapInArrow(run, schema)

@@ -82,16 +82,80 @@ def test_op3(spark, sf_dir, texts):
 @pytest.mark.parametrize("text", ["", "a  b", " lead", "x \n y\n\n z ", "a<|endoftext|> b", "don't  it's", "日本 語　全角 空", "tab\t tab", "end  ", "\x1c \x1c a", "w" * 5000, "á ́b"])
 def test_tokens_of_odd_texts(text):
     t = Tokenizer.from_file(queries.tokenizer_path("byte_bpe_50k.json"))
-    lengths = tokens._lengths(queries.tokenizer_path("byte_bpe_50k.json"))
-    assert "".join(tokens.parts(text)) == text
-    assert sum(lengths.values(tokens.parts(text))) == len(t.encode(text, add_special_tokens=False).ids)
+    lengths = tokens.Lengths(queries.tokenizer_path("byte_bpe_50k.json"))
+    assert lengths.by_parts and "".join(lengths.parts(text)) == text
+    assert lengths.count(text) == len(t.encode(text, add_special_tokens=False).ids)
+
+
+ODD = ["日本語テキスト", "ー", "。", "kana", "カタカナ", "ひらがな", "a", "B", " ", "\n", "'s", "don't", "１２", "12", "é", "　", "_", "!!", "ΣΑΣ", "İ", "ß", "🙂", "\u200b", "\x85", "한국어", "<|endoftext|>"]
+
+
+def test_odd_long_texts_as_the_library():
+    import random
+
+    rng = random.Random(7)
+    path, words = queries.tokenizer_path("byte_bpe_50k.json"), packing.Ids(queries.tokenizer_path("word_bpe_49k.json"))
+    lengths = tokens.Lengths(path)
+    for k in range(400):
+        text = "".join(rng.choices(ODD[: len(ODD) - k % 2], k=rng.choice([5, 100, 900])))
+        text = text if k % 4 < 2 else text.replace(" ", "").replace("\n", "")
+        assert lengths.count(text) == len(lengths.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert np.frombuffer(words.of(text), "<u4").tolist() == [*words.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+    unbroken = "日本語テキスト。" * 4000
+    assert max(map(len, lengths.parts(unbroken))) <= 2 * tokens.LONG and "".join(lengths.parts(unbroken)) == unbroken
+    assert max(sum(map(tokens.n_bytes, b)) for b in tokens.balanced(["字" * 1000] * 999)) <= tokens.BATCH_BYTES + 3000
+
+
+def test_other_kinds_of_files_are_encoded_whole():
+    """Each file through the operator that is made for the other kind."""
+    byte, word = (queries.tokenizer_path(x) for x in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+    lengths, ids = tokens.Lengths(word), packing.Ids(byte)
+    assert not lengths.by_parts and not ids.by_words
+    for text in ("Some Words, and  spaces\n here", "", " x"):
+        assert lengths.count(text) == len(lengths.tokenizer.encode(text, add_special_tokens=False).ids)
+        assert np.frombuffer(ids.of(text), "<u4").tolist() == [*ids.tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_memo_is_bounded_by_bytes():
+    from sphaera.llm.common import Memo
+
+    memo = Memo(lambda words: [w.encode() for w in words], 1 << 16)
+    for k in range(200):
+        words = [f"{k}-{j}" * (1 + 200 * (k % 50 == 0)) for j in range(40)]
+        assert list(memo.values(words)) == [w.encode() for w in words]
+    assert len(memo.known) + len(memo.old) < 600
+
+
+def test_windows_are_best_fit():
+    """Against a search over all open windows."""
+    import random
+
+    rng, ours = random.Random(3), packing.Windows(100, 5)
+    still, done = [], []
+    for k in range(2000):
+        n = rng.randint(1, 100)
+        ours.place((k,), n)
+        fit = max((w for w in still if w[0] + n <= 100), key=lambda w: w[0], default=None)
+        if fit is None:
+            if len(still) == 5:
+                fullest = max(still, key=lambda w: w[0])
+                still.remove(fullest)
+                done.append(fullest[0])
+            fit = [0]
+            still.append(fit)
+        fit[0] += n
+        if fit[0] == 100:
+            still.remove(fit)
+            done.append(100)
+        assert ours.count == len(still) <= 5 and sorted(w[0] for w in still) == sorted(level for level, ws in ours.by_level.items() for _ in ws)
+    assert len(ours.emitted) == len(done) and sorted(p[0] for w in ours.emitted + ours.left() for p in w) == list(range(2000))
 
 
 @pytest.mark.parametrize("text", ["", "Ab, aB. AB", "a!, b.", "ΣΑΣ, σας.", "İstanbul, İ", "don't, it's.", "x\x1cy \x1c", "1,2. 3,", "<|endoftext|>, a", "Straße. ﬁn,", "é, ́."])
 def test_ids_of_odd_texts(text):
     path = queries.tokenizer_path("word_bpe_49k.json")
     want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [1]
-    assert np.frombuffer(packing.document_ids(text, packing._ids(path)), "<u4").tolist() == want
+    assert np.frombuffer(packing.Ids(path).of(text), "<u4").tolist() == want
 
 
 def test_op4(spark, sf_dir, texts):
@@ -352,7 +416,45 @@ def test_repeated_ids_with_different_texts(spark):
     words = [f"w{k}" for k in range(40)]
     docs = spark.createDataFrame([(7, " ".join(words)), (7, "other text of few words"), (9, " ".join(words))], "doc_id long, text string")
     got = neardup.near_duplicates(docs).collect()
-    assert sorted((r.doc_id, r.n_shingles) for r in got) == [(7, 1), (7, 36), (9, 36)]
+    assert sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got) == [(7, 1, 7, True), (7, 36, 7, True), (9, 36, 7, False)]
+    assert sorted(r.text for r in neardup.keep_one(docs).collect()) == ["other text of few words", " ".join(words)]
+
+
+def test_rows_without_ids_are_linked_too(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows_ = [(None, a), (3, a), (None, b), (None, b), (5, c), (5, c + " more"), (None, None), (None, ""), (6, None), (6, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows_], "doc_id long, text string, rid string").repartition(3)
+    got = sorted(map(tuple, neardup.near_duplicates(docs).collect()), key=str)
+    want = [(None, 36, 3, False), (3, 36, 3, True), (None, 36, None, True), (None, 36, None, False), (5, 36, 5, True), (5, 37, 5, True), (None, 0, None, True), (None, 0, None, True), (6, 0, 6, True), (6, 0, 6, True)]
+    assert got == sorted(want, key=str)
+    kept = neardup.keep_one(docs)
+    assert kept.columns == docs.columns
+    left = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert left == Counter([(3, a), (None, b), (5, c), (None, None), (None, ""), (6, None), (6, None)]) or left == Counter([(3, a), (None, b), (5, c + " more"), (None, None), (None, ""), (6, None), (6, None)])
+    assert neardup.keep_one(docs.limit(0)).count() == 0
+
+
+def test_groups_of_unlike_documents_with_one_passage(spark):
+    """A passage that thousands of unlike documents share, and near copies among them; in blocks, as by brute force."""
+    rng = np.random.default_rng(9)
+    own = lambda n: [f"u{rng.integers(10**9)}" for _ in range(n)]
+    passage = own(60)
+    texts = {k: own(20) + passage + own(20) for k in range(5000)}
+    for k in range(5000, 5060):  # a link across components, some of it just below the bound
+        w = list(texts[k - 5000])
+        for p in rng.choice(len(w), k % 6, replace=False):
+            w[p] = own(1)[0]
+        texts[k] = w
+    texts = {k: " ".join(w) for k, w in texts.items()}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, block=64).collect()}
+    sets = {i: shingle_set(t) for i, t in texts.items()}
+    want = dict(zip(texts, texts))
+    for k in range(5000, 5060):
+        c = len(sets[k] & sets[k - 5000])
+        if 100 * c >= 75 * len(sets[k] | sets[k - 5000]):
+            want[k] = k - 5000
+    assert got == want and 10 < sum(k != c for k, c in want.items()) < 60
 
 
 def test_large_group_is_linked_as_by_brute_force(spark):
@@ -371,8 +473,10 @@ def test_large_group_is_linked_as_by_brute_force(spark):
     for k in range(230, 260):
         texts[k] = texts[k - 230]
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs).collect()}
-    assert got == linked_components({i: shingle_set(t) for i, t in texts.items()})
+    want = linked_components({i: shingle_set(t) for i, t in texts.items()})
+    for block in (neardup.BLOCK, 16):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, block=block).collect()}
+        assert got == want
     kept = neardup.keep_one(docs.withColumn("source", docs.text)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values()))
 
