@@ -13,6 +13,7 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,8 +29,12 @@ _ASSIGN_HINT = re.compile(r"(?ai:password|passwd|secret|token|api_?key)")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _ANY_HEX = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9a-fA-F]{2}){32,}(?![0-9A-Fa-f])")
-_JWT = re.compile(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,40}PRIVATE KEY)-----([A-Za-z0-9+/=\s:,.\\-]*?)-----END \1-----")
+#: Runs in which signed tokens lie, and the marks around armoured keys.  Each pattern here takes time in proportion to the text.
+_TOKEN_RUN = re.compile(r"[A-Za-z0-9_.-]+")
+_ARMOUR = re.compile(r"-----(BEGIN|END) ([A-Z0-9 ]{0,40}PRIVATE KEY)-----")
+_BODY = re.compile(r"[A-Za-z0-9+/=\s:,.\\-]*")
+#: Keys are no longer than this: RSA keys of 16,384 bits take 10 KB.
+KEY_BYTES = 1 << 16
 #: Line ends, also as the escapes of a quoted string.
 _LINE_END = re.compile(r"(?:\\+r)?\\+n|\r\n?|\\+r")
 #: A DER sequence in base64, either alphabet, and the first letters of an OpenSSH key.
@@ -80,13 +85,28 @@ def der(data: bytes, start: int = 0, end: int | None = None, depth: int = 0) ->
 
 
 def is_key(data: bytes) -> bool:
-    """Whether bytes are one DER sequence laid out as a key: RSA, DSA or EC private keys, PKCS#8, or a public key."""
+    """Whether bytes are one DER sequence laid out as a key: RSA, DSA or EC private keys, PKCS#8, or a public key.
+
+    What lies in the octet string of PKCS#8 or the bit string of a public key has to parse as well.
+    """
     if len(data) < 24 or data[0] != 0x30 or not (tree := der(data)) or len(tree) != 1:
         return False
-    tags = [x[0] for x in tree[0][1]]
-    private = tags[:2] == [0x02, 0x04] or tags[:3] == [0x02, 0x30, 0x04] or (len(tags) >= 6 and set(tags) == {0x02})
-    public = tags == [0x30, 0x03] and tree[0][1][0][1] and tree[0][1][0][1][0][0] == 0x06
-    return bool(private or public)
+    parts = tree[0][1]
+    tags = [x[0] for x in parts]
+    if tags[:2] == [0x02, 0x04] or (len(tags) >= 6 and set(tags) == {0x02}):
+        return True
+    if tags[:3] == [0x02, 0x30, 0x04]:
+        return bool(der(parts[2][1]))
+    if tags == [0x30, 0x03] and parts[0][1] and parts[0][1][0][0] == 0x06:
+        held = parts[1][1]
+        return held[:1] == b"\0" and (held[1:2] != b"\x30" or bool(der(held[1:])))
+    return False
+
+
+def may_be_key(head: bytes) -> bool:
+    """Whether a sequence may be a key by its first bytes: a version of 0 to 3, or an algorithm's sequence."""
+    at = 2 + (head[1] & 0x7F if head[1] & 0x80 else 0)
+    return (head[at : at + 2] == b"\x02\x01" and head[at + 2] <= 3) or (head[at] == 0x30 and head[at + 2] == 0x06) or (head[at] == 0x02)
 
 
 def is_openssh(data: bytes) -> bool:
@@ -123,33 +143,44 @@ def begins(text: str, start: int) -> bool:
     return start == 0 or text[start - 1] not in _INNER or (text[start - 2 : start - 1] == "\\" and text[start - 1] in "nrt")
 
 
-def letters(text: str, start: int, n: int | None = None) -> tuple[str, int]:
-    """The first n base64 letters from start (all, if None), joined over breaks, in the standard alphabet; the end of the last."""
-    out, at, end = [], start, start
-    while (n is None or n > 0) and (m := _PIECE.match(text, at)):
-        piece = m[0][:n]
-        out.append(piece)
-        at = end = at + len(piece)
-        n = None if n is None else n - len(piece)
-        if gap := _BREAK.match(text, at):
+class Chain:
+    """The base64 letters from a place on, joined over breaks, in the standard alphabet; taken apart once for all keys within."""
+
+    def __init__(self, text: str, start: int):
+        self.starts, self.offsets, found, at, n = [], [], [], start, 0
+        while m := _PIECE.match(text, at):
+            self.starts.append(at)
+            self.offsets.append(n)
+            found.append(m[0])
+            n, self.end = n + len(m[0]), m.end()
+            gap = _BREAK.match(text, self.end)
+            if not gap:
+                break
             at = gap.end()
-        else:
-            break
-    return "".join(out).replace("-", "+").replace("_", "/"), end
+        self.letters = "".join(found).replace("-", "+").replace("_", "/")
 
+    def offset(self, start: int) -> int:
+        """The number of letters before a place in the text."""
+        k = bisect_right(self.starts, start) - 1
+        return self.offsets[k] + start - self.starts[k]
 
-def take(text: str, start: int, size: int) -> tuple[bytes | None, int]:
-    """The bytes of so long an encoding from start, and the end of its base64 with the padding; None where the text has fewer."""
-    n = -(-4 * size // 3)
-    if n > len(text) - start:
-        return None, start
-    found, end = letters(text, start, n)
-    return (decoded(found), _PADDING.match(text, end).end()) if len(found) == n else (None, start)
+    def take(self, start: int, n: int) -> tuple[bytes | None, int]:
+        """The bytes of n letters from a place in the text, and where the last ends; None where there are fewer."""
+        at = self.offset(start)
+        found = self.letters[at : at + n]
+        if len(found) < n or n % 4 == 1:
+            return None, start
+        k = bisect_left(self.offsets, at + n) - 1
+        return base64.b64decode(found + "=" * (-n % 4)), self.starts[k] + at + n - self.offsets[k]
+
+
+def n_letters(size: int) -> int:
+    return -(-4 * size // 3)
 
 
 def base64_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of keys in base64, wrapped or not, in either alphabet; how far one goes is read from its own lengths."""
-    out, done = [], 0
+    out, done, chain, padded = [], 0, None, lambda end: _PADDING.match(text, end).end()
     for m in _DER_START.finditer(text):
         if m.start() < done or not begins(text, m.start()):
             continue
@@ -158,36 +189,81 @@ def base64_spans(text: str) -> list[tuple[int, int, str]]:
         if wide > 4:
             continue
         size = 2 + wide + (int.from_bytes(head[2 : 2 + wide], "big") if wide else head[1])
-        data, end = take(text, m.start(), size)
+        if not 24 <= size <= KEY_BYTES or n_letters(size) > len(text) - m.start():
+            continue
+        if chain is None or m.start() >= chain.end:
+            chain = Chain(text, m.start())
+        head, _ = chain.take(m.start(), 16)
+        if not head or not may_be_key(head):
+            continue
+        data, end = chain.take(m.start(), n_letters(size))
         if data and is_key(data):
-            out.append((m.start(), end, "der"))
+            out.append((m.start(), padded(end), "der"))
             done = end
-    at = text.find(_OPENSSH_START)
+    at, chain = text.find(_OPENSSH_START), None
     while at >= 0:
         if begins(text, at):
-            found, _ = letters(text, at)
-            data, end = decoded(found[: len(found) // 4 * 4]), at
-            if size := data and openssh_length(data):
-                data, end = take(text, at, size)
-            if end == at:  # cut short, or its last letters fill no four
-                found, end = letters(text, at, len(_PIECE.match(text, at)[0]))
-                data, end = decoded(found), _PADDING.match(text, end).end()
+            if chain is None or at >= chain.end:
+                chain = Chain(text, at)
+            head, _ = chain.take(at, 28)
+            if head and int.from_bytes(head[15:19], "big") <= 64:  # the length of a cipher's name
+                held = len(chain.letters) - chain.offset(at)
+                data, _ = chain.take(at, min(held, n_letters(KEY_BYTES)) // 4 * 4)
+            else:
+                data = None
+            size, end = data and openssh_length(data), at
+            if size:
+                data, end = chain.take(at, n_letters(size))
+            if data and end == at:  # cut short, or its last letters fill no four
+                data, end = chain.take(at, len(_PIECE.match(text, at, at + n_letters(KEY_BYTES))[0]))
             if data and is_openssh(data):
-                out.append((at, end, "openssh"))
+                out.append((at, padded(end), "openssh"))
         at = text.find(_OPENSSH_START, at + 1)
     return out
 
 
 def is_signed_token(text: str) -> bool:
     """Header and payload of a compact signed token are JSON objects, the header names an algorithm."""
-    parts = [decoded(x, url=True) for x in text.split(".")]
-    if len(parts) != 3 or not all(parts):
-        return False
+    parts = text.split(".")
     try:
-        head, body = json.loads(parts[0]), json.loads(parts[1])
+        head = json.loads(decoded(parts[0], url=True) or b"")
+        if len(parts) != 3 or not isinstance(head, dict) or not isinstance(head.get("alg"), str):
+            return False
+        return isinstance(json.loads(decoded(parts[1], url=True) or b""), dict) and bool(decoded(parts[2], url=True))
     except (ValueError, RecursionError):
         return False
-    return isinstance(head, dict) and isinstance(head.get("alg"), str) and isinstance(body, dict)
+
+
+def token_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of signed tokens: three parts between dots, the header from the first or the last ``eyJ`` of its part on."""
+    out = []
+    for m in _TOKEN_RUN.finditer(text):
+        if "eyJ" not in m[0]:
+            continue
+        parts, at, done = m[0].split("."), m.start(), 0
+        for k, part in enumerate(parts):
+            if k >= done and k + 2 < len(parts) and "eyJ" in part and parts[k + 1] and parts[k + 2]:
+                rest = f".{parts[k + 1]}.{parts[k + 2]}"
+                for begin in dict.fromkeys((part.find("eyJ"), part.rfind("eyJ"))):
+                    if is_signed_token(part[begin:] + rest):
+                        out.append((at + begin, at + len(part) + len(rest), "jwt"))
+                        done = k + 3
+                        break
+            at += len(part) + 1
+    return out
+
+
+def armoured_spans(text: str) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of keys between a BEGIN mark and the END mark next to it."""
+    out, marks = [], list(_ARMOUR.finditer(text))
+    for m, end in zip(marks, marks[1:]):
+        if (m[1], end[1]) != ("BEGIN", "END") or m[2] != end[2] or not _BODY.fullmatch(text, m.end(), end.start()):
+            continue
+        body = _LINE_END.sub("\n", text[m.end() : end.start()]).replace("\\", "")
+        data = decoded(re.split(r"\n[ \t]*\n", body)[-1] if ":" in body else body)
+        if data and (is_key(data) or is_openssh(data) or "ENCRYPTED" in text[m.start() : end.start()] and der(data)):
+            out.append((m.start(), end.end(), "pem"))
+    return out
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -203,13 +279,9 @@ def confirmed_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of what its structure confirms."""
     out = []
     if "eyJ" in text:
-        out += [(m.start(), m.end(), "jwt") for m in _JWT.finditer(text) if is_signed_token(m[0])]
+        out += token_spans(text)
     if "-----BEGIN" in text:
-        for m in _PEM.finditer(text):
-            body = _LINE_END.sub("\n", m[2]).replace("\\", "")
-            data = decoded(re.split(r"\n[ \t]*\n", body)[-1] if ":" in body else body)
-            if data and (is_key(data) or is_openssh(data) or "ENCRYPTED" in m[0] and der(data)):
-                out.append((m.start(), m.end(), "pem"))
+        out += armoured_spans(text)
     out += base64_spans(text)
     for m in _ANY_HEX.finditer(text):
         if m[0][:2] == "30" and is_key(bytes.fromhex(m[0])):
@@ -229,8 +301,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans of each row of docs (doc_id, text, ...).
 
     Spans are kind:start:end in code points, the end exclusive, by start, then kind in the
-    order of KINDS.  A null or empty text has none.  Rows that repeat are each returned,
-    other columns are ignored, an empty table gives no rows.
+    order of KINDS.  A null or empty text has none.  Rows that repeat, or have no doc_id, are
+    each returned; other columns are ignored; an empty table gives no rows.
     """
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -258,7 +330,12 @@ def redacted(text: str, mark: str = "[SECRET]") -> str:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs, its texts without secrets and n_chars, where there is one, set anew.  Null texts stay null."""
+    """docs, its texts without secrets and n_chars, where there is one, set anew.
+
+    Null texts stay null, with the n_chars that they had; empty ones stay empty.  Every row
+    stays, also one that repeats or has no doc_id, with its other columns; an empty table
+    gives no rows.
+    """
 
     def run(batches):
         for batch in small(batches):
