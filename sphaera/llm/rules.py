@@ -44,8 +44,11 @@ BANDS = (
     (65536, 2.27, 2.6),
     (float("inf"), 2.3, 2.8),
 )
-#: Least and most ratio of a full chunk of CHUNK bytes (clean texts: 2.07 to 2.25), and the share of a document's chunks that may lie outside.
-CHUNK_BAND, CHUNKS_OUTSIDE = (2.0, 2.31), 0.5
+#: A document's end of fewer bytes is measured with the full chunk before it, a longer one as a chunk of its own, by BANDS.
+SHORT_END = 256
+#: Least and most ratio of a chunk of CHUNK bytes or more (clean texts: 2.07 to 2.25), and the share of a document's chunks
+#: that may lie outside (of 3,243 clean labelled texts none has one).
+CHUNK_BAND, CHUNKS_OUTSIDE = (2.0, 2.31), 0.2
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
 
@@ -88,22 +91,37 @@ def repeated_words(words: list[str], width: int = 3) -> int:
     return n
 
 
-def ratios(data: bytes, compressor, chunk: int = CHUNK) -> tuple[float, list[float]]:
-    """The ratio of the whole and of each full chunk; 1 for no bytes."""
+def chunk_ends(n_bytes: int, chunk: int = CHUNK) -> list[int]:
+    """Where the chunks of so many bytes end; together they are the whole."""
+    ends = list(range(chunk, n_bytes + 1, chunk))
+    if not ends:
+        return [n_bytes] if n_bytes else []
+    return [*ends, n_bytes] if n_bytes - ends[-1] >= SHORT_END else [*ends[:-1], n_bytes]
+
+
+def ratios(data: bytes, compressor, chunk: int = CHUNK) -> tuple[float, list[tuple[int, float]]]:
+    """The ratio of the whole (1 for no bytes), and length and ratio of each chunk."""
     whole = len(data) / len(compressor.compress(data)) if data else 1.0
-    return whole, [chunk / len(compressor.compress(data[k : k + chunk])) for k in range(0, len(data) - chunk + 1, chunk)]
+    ends = chunk_ends(len(data), chunk)
+    if len(ends) == 1:
+        return whole, [(len(data), whole)]
+    return whole, [(b - a, (b - a) / len(compressor.compress(data[a:b]))) for a, b in zip([0, *ends], ends)]
 
 
 def in_band(n_bytes: int, ratio: float) -> bool:
     return next(least <= ratio <= most for end, least, most in BANDS if n_bytes <= end)
 
 
+def chunk_in_band(n_bytes: int, ratio: float, chunk: int = CHUNK) -> bool:
+    return CHUNK_BAND[0] <= ratio <= CHUNK_BAND[1] if n_bytes >= chunk else in_band(n_bytes, ratio)
+
+
 def measure(text: str | None, compressor, chunk: int = CHUNK) -> tuple:
     """The counts, ratios and verdicts of one text, in the order of SCHEMA without doc_id."""
     text = text or ""
     data, words = text.encode("utf-8", "surrogatepass"), words_of(text)
     whole, parts = ratios(data, compressor, chunk)
-    outside = sum(not CHUNK_BAND[0] <= r <= CHUNK_BAND[1] for r in parts)
+    outside = sum(not chunk_in_band(n, r, chunk) for n, r in parts)
     n, repeated = len(words), repeated_words(words)
     failed = n < MIN_WORDS or 100 * repeated > REPEATED_PERCENT * n
     kept = not failed and in_band(len(data), whole) and outside <= CHUNKS_OUTSIDE * len(parts)
@@ -113,8 +131,9 @@ def measure(text: str | None, compressor, chunk: int = CHUNK) -> tuple:
 def measures(docs: DataFrame, level: int = LEVEL, chunk: int = CHUNK) -> DataFrame:
     """doc_id, counts, ratios and verdicts of each row of docs (doc_id, text, ...).
 
-    A null text counts as empty; an empty one has no words and fails the base rules.  Rows
-    that repeat are each returned, other columns are ignored.
+    A null text counts as empty; an empty one has no words, no chunks, the ratio 1 and fails
+    the base rules.  Rows that repeat, or have no doc_id, are each returned; other columns are
+    ignored; an empty table gives no rows.
     """
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -127,7 +146,11 @@ def measures(docs: DataFrame, level: int = LEVEL, chunk: int = CHUNK) -> DataFra
 
 
 def keep_by_rules(docs: DataFrame, level: int = LEVEL) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns; each row is judged by its own text."""
+    """The rows of docs that the rules keep, with their columns; each row is judged by its own text.
+
+    Null and empty texts fail the base rules and go.  Rows that repeat all stay or go, doc_id
+    and other columns don't matter, an empty table gives no rows.
+    """
 
     def keep():
         compressor = zstandard.ZstdCompressor(level=level, write_checksum=False)
