@@ -154,13 +154,14 @@ def measured(docs: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """A model of labels.quality over the texts of docs, from at most ``sample`` labelled rows that are not held out.
 
-    Labels other than 0 and 1 (null too) are skipped.  A doc_id with several labels counts
-    with the smallest.  The labels sent to the executors and the features sent back are
+    Labels other than 0 and 1 (null too) and labels without a doc_id are skipped.  A doc_id with
+    several labels counts with the smallest, one with several texts with the smallest text
+    (nulls last).  Without any label every score is a half.  The labels sent to the executors and the features sent back are
     bounded by ``sample``.
     """
     known = labels.where("quality IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(~held_out())
     chosen = known.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    wanted = documents(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    wanted = documents(docs).join(F.broadcast(chosen.select("doc_id")), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
     rows = measured(wanted).join(F.broadcast(chosen), "doc_id").orderBy("doc_id").toPandas()
     return fit(rows[list(FEATURES)].to_numpy(float).reshape(-1, len(FEATURES)), rows["quality"].to_numpy(float))
 
@@ -168,8 +169,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of each row of docs (doc_id, text, ...).
 
-    A null text counts as empty and gets a score too.  Rows that repeat are each returned,
-    other columns are ignored, an empty table gives no rows.
+    A null text counts as empty and gets a score too.  Rows that repeat are each returned; so
+    are rows without doc_id, whose held_out is false; other columns are ignored; an empty table
+    gives no rows.
     """
 
     def f(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -177,11 +179,15 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
 
     scored = arrow_map(documents(docs), f, "doc_id long, score double")
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_by_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text the classifier takes for label 1, with their columns; each row is judged by its own text."""
+    """The rows of docs whose text the classifier takes for label 1, with their columns; each row is judged by its own text.
+
+    A null text is judged as an empty one.  Rows that repeat all stay or go, doc_id and other
+    columns don't matter for the verdict, an empty table gives no rows.
+    """
     model = train(docs, labels)
     verdicts = lambda texts: model.score(np.array([features(t) for t in texts], float).reshape(-1, len(FEATURES))) >= threshold
     return filter_texts(docs, lambda: verdicts)
