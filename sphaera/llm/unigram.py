@@ -7,12 +7,15 @@ pieces and bytes and turns markers back into spaces.
 
 The Viterbi runs over many distinct words at once, in numpy: no piece has a marker after
 another character, so a text's best segmentation is that of its words, one after another.
+Words of more than LONG characters, such as prose without spaces, are walked one by one instead.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import chain
 
@@ -27,6 +30,8 @@ UNKNOWN_PENALTY = 10.0
 #: Bytes of text in one run of the Viterbi.
 BLOCK_BYTES = 1 << 18
 CHUNK_BYTES = 1 << 21
+#: Characters of a word from which on it is walked alone: the numpy steps of a block are as many as its longest word has bytes.
+LONG = 64
 
 _UNITS = re.compile(r"\n| *[^ \n]+| +")
 
@@ -87,22 +92,54 @@ class Unigram:
         self.fallback = np.zeros(len(self.scores), bool)
         self.fallback[byte_ids] = True
         self.trie = Trie((piece.encode(), k) for k, piece in pieces.items())
+        self._quick = self._scores = None
 
     @classmethod
     def from_model(cls, path: str) -> Unigram:
-        """The pieces of a SentencePiece file, their log scores by Zipf's law from their order.
-
-        The files at hand hold merge ranks, no probabilities: the piece of rank r gets the
-        log of ``1 / ((r + 1) * H)``, where H makes the probabilities sum to 1.
-        """
+        """The pieces of a SentencePiece file with the scores that the file holds."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         special = [k for k in range(len(model)) if model.is_control(k) or model.is_unknown(k) or model.is_unused(k)]
         byte_ids = sorted((k for k in range(len(model)) if model.is_byte(k)), key=lambda k: int(model.id_to_piece(k)[3:-1], 16))
         pieces = {k: model.id_to_piece(k) for k in sorted({*range(len(model))} - {*special, *byte_ids})}
-        total = sum(1 / (r + 1) for r in range(len(pieces)))
-        return cls(pieces, {k: float(-np.log((r + 1) * total)) for r, k in enumerate(pieces)}, byte_ids)
+        return cls(pieces, {k: model.get_score(k) for k in pieces}, byte_ids)
+
+    def walk(self, word: bytes) -> np.ndarray:
+        """The ids of the best segmentation of one word, however long; the same as ``viterbi`` gives."""
+        base, check, value = self._lists()
+        scores, n, worst = self._scores, len(word), float(self.unknown)
+        best, back, ids = [-math.inf] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        best[0], at = 0.0, 0
+        while at < n:
+            lead = word[at]
+            width = 1 if lead < 0x80 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
+            here, node, to, single = best[at], 0, at, False
+            while to < n:
+                slot = base[node] + word[to]
+                if check[slot] != node or slot <= 0:
+                    break
+                node, to = slot, to + 1
+                k = value[node]
+                if k >= 0:
+                    if here + scores[k] > best[to]:
+                        best[to], back[to], ids[to] = here + scores[k], at, k
+                    single = single or to - at == width
+            if not single and here + worst > best[at + width]:
+                best[at + width], back[at + width], ids[at + width] = here + worst, at, -1
+            at += width
+        out, to = [], n
+        while to:
+            out.append([ids[to]] if ids[to] >= 0 else self.byte_ids[list(word[back[to] : to])])
+            to = back[to]
+        return np.concatenate(out[::-1]).astype("<i4") if out else np.empty(0, "<i4")
+
+    def _lists(self) -> tuple:
+        """The trie as arrays whose elements Python reads quickly; made once a worker."""
+        if self._quick is None:
+            self._quick = tuple(array("i", x.tobytes()) for x in (self.trie.base, self.trie.check, self.trie.value))
+            self._scores = array("d", self.scores.astype(float).tobytes())
+        return self._quick
 
     def viterbi(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of the best segmentation of each of the words (UTF-8, with markers)."""
@@ -111,9 +148,9 @@ class Unigram:
         flat = np.frombuffer(b"".join(words) + b"\0", np.uint8)
         start = np.concatenate([[0], np.cumsum(length)])
         ends, starts = start[1:], start[:-1]
-        best = np.full(len(flat), -np.inf, np.float32)  # of what ends before a place, but for a word's end
+        best = np.full(len(flat), -np.inf)  # of what ends before a place, but for a word's end
         from_, ident = np.full(len(flat), -1, np.int64), np.full(len(flat), -1, np.int32)
-        last, last_from, last_id = np.full(n, -np.inf, np.float32), np.full(n, -1, np.int64), np.full(n, -1, np.int32)
+        last, last_from, last_id = np.full(n, -np.inf), np.full(n, -1, np.int64), np.full(n, -1, np.int32)
         begins = (flat & 0xC0) != 0x80
         width = np.where(flat < 0x80, 1, np.where(flat < 0xE0, 2, np.where(flat < 0xF0, 3, 4)))
         best[starts[length > 0]] = 0
@@ -170,6 +207,9 @@ class Unigram:
                     out[k] = ids.tobytes()
 
             for k in order:
+                if len(units[k]) > LONG:
+                    out[k] = self.walk(units[k].replace(" ", MARK).encode("utf-8", "surrogatepass")).tobytes()
+                    continue
                 block.append(k)
                 size += len(units[k])
                 if size >= BLOCK_BYTES:
@@ -214,8 +254,8 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     """doc_id, n_tokens, n_fallback (byte pieces), ids_crc32 (of the little-endian 32-bit ids), round_trip of each row of docs.
 
     round_trip: decoding gives the text back; it doesn't where the text itself holds the
-    marker.  A null or empty text has no tokens.  Rows that repeat are each returned, other
-    columns are ignored.  ``with_ids`` adds the ids.
+    marker.  A null or empty text has no tokens.  Rows that repeat, or have no doc_id, are each
+    returned; other columns are ignored; an empty table gives no rows.  ``with_ids`` adds the ids.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Unigram.from_model(path))
 
@@ -236,7 +276,11 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
-    """doc_id and text of rows of doc_id and ids; null ids give a null text."""
+    """doc_id and text of rows of doc_id and ids; null ids give a null text, no ids an empty one.
+
+    Rows that repeat, or have no doc_id, are each returned; other columns are ignored; an empty
+    table gives no rows.
+    """
     shared = encoded.sparkSession.sparkContext.broadcast(Unigram.from_model(path))
 
     def run(batches):
