@@ -67,22 +67,24 @@ def likeness(a: str | Column, b: str | Column, samples: int = SAMPLES) -> Column
     return F.when((a == "") & (b == ""), 1.0).otherwise(same / F.lit(float(samples)))
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """doc_id, n_chars, next_id, prior_id, prior_chars of distinct (doc_id, n_chars), in the order of doc_id, the last before the first.
+def successors(ids: DataFrame, order: list[str]) -> DataFrame:
+    """rid, n_chars, next_id, prior_id, prior_chars of rows (rid, n_chars, ...), in the order of the columns ``order``, the last before the first.
 
     The ids alone are sorted by range; neighbours within a partition come from a window over
     it, those across from a table of a row for each partition.  The partition of an id is
     written down once, as a partitioning may differ from run to run.
     """
-    ids = durable(ids.repartitionByRange("doc_id").withColumn("part", F.spark_partition_id()))
-    w = W.partitionBy("part").orderBy("doc_id")
-    inner = ids.select("*", F.lead("doc_id").over(w).alias("next_id"), F.lag("doc_id").over(w).alias("prior_id"), F.lag("n_chars").over(w).alias("prior_chars"))
-    ends = ids.groupBy("part").agg(F.min("doc_id").alias("low"), F.max(F.struct("doc_id", "n_chars")).alias("high"))
+    ids = durable(ids.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    w = W.partitionBy("part").orderBy(*order)
+    inner = ids.select("*", F.lead("rid").over(w).alias("next_id"), F.lag("rid").over(w).alias("prior_id"), F.lag("n_chars").over(w).alias("prior_chars"))
+    place = F.struct(*(x for c in order for x in (F.col(c).isNotNull().alias(f"has_{c}"), F.col(c))))  # null ids first
+    ends = ids.groupBy("part").agg(F.min_by("rid", place).alias("low"), F.max_by(F.struct("rid", "n_chars"), place).alias("high"))
     w = W.partitionBy(F.lit(0)).orderBy("part")  # a row for each partition
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    ring = ends.select("part", F.coalesce(F.lead("low").over(w), F.min("low").over(whole)).alias("after"), F.coalesce(F.lag("high").over(w), F.max("high").over(whole)).alias("before"))
+    around = [F.lead("low").over(w), F.first("low").over(whole), F.lag("high").over(w), F.last("high").over(whole)]
+    ring = ends.select("part", F.coalesce(*around[:2]).alias("after"), F.coalesce(*around[2:]).alias("before"))
     out = inner.join(F.broadcast(ring), "part")
-    return out.select("doc_id", "n_chars", F.coalesce("next_id", "after").alias("next_id"), F.coalesce("prior_id", "before.doc_id").alias("prior_id"), F.coalesce("prior_chars", "before.n_chars").alias("prior_chars"))
+    return out.select("rid", "n_chars", F.coalesce("next_id", "after").alias("next_id"), F.coalesce("prior_id", "before.rid").alias("prior_id"), F.coalesce("prior_chars", "before.n_chars").alias("prior_chars"))
 
 
 def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -91,23 +93,26 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     The edited text has its last floor(n_chars / 4) code points replaced by the first as many
     (or all) of the next document's.  A null text counts as empty: no words, an empty
     fingerprint, which is alike to another empty one (1) and to no other (0).  A table of one
-    document is its own next.  Rows that repeat a doc_id count as one document, with the
-    smallest of their texts.  Other columns are ignored; an empty table gives no rows.
+    document is its own next.  Rows that repeat a doc_id are each a document, in the order of
+    the SHA-256 of their texts; rows without doc_id come first, in that order.  Other columns
+    are ignored; an empty table gives no rows.
     """
     docs = documents(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     ids = durable(docs.select("doc_id", F.length("text").cast("long").alias("n_chars")))
     rows = ids.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
-    if rows.n != rows.ids:
-        docs = docs.groupBy("doc_id").agg(F.min("text").alias("text"))
-        ids = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"))
-    order = durable(successors(ids))
-    heads = docs.join(order, "doc_id").select(F.col("prior_id").alias("doc_id"), F.expr("substring(text, 1, int(prior_chars div 4))").alias("head"))
-    both = docs.join(heads, "doc_id").withColumn("n", F.length("text"))
+    if rows.n == rows.ids:
+        docs, ids, order = docs.withColumn("rid", F.col("doc_id")), ids.withColumn("rid", F.col("doc_id")), ["doc_id"]
+    else:
+        docs = durable(docs.withColumn("rid", F.monotonically_increasing_id()))
+        ids, order = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "rid", F.sha2("text", 256).alias("sha")), ["doc_id", "sha", "rid"]
+    order = durable(successors(ids, order))
+    heads = docs.join(order, "rid").select(F.col("prior_id").alias("rid"), F.expr("substring(text, 1, int(prior_chars div 4))").alias("head"))
+    both = docs.join(heads, "rid").withColumn("n", F.length("text"))
     edited = F.concat(F.expr("substring(text, 1, int(n - n div 4))"), F.col("head"))
     kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text"), F.lit(None).cast("binary").alias("sha")), F.struct(F.lit(1).alias("kind"), edited.alias("text"), F.unhex(F.sha2(edited.cast("binary"), 256)).alias("sha")))
-    texts = both.select("doc_id", F.explode(kinds).alias("x")).select("doc_id", "x.kind", "x.sha", "x.text")
-    prints = fingerprint(texts, ["doc_id", "kind", "sha"], samples)
+    texts = both.select("rid", "doc_id", F.explode(kinds).alias("x")).select("rid", "doc_id", "x.kind", "x.sha", "x.text")
+    prints = fingerprint(texts, ["rid", "doc_id", "kind", "sha"], samples)
     of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    prints = durable(prints.groupBy("doc_id").agg(of(0, "fingerprint").alias("fingerprint"), of(1, "fingerprint").alias("edited_fingerprint"), of(1, "sha").alias("sha")))
-    out = prints.join(order.select("doc_id", "n_chars", "next_id"), "doc_id").join(prints.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next")), "next_id")
+    prints = durable(prints.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), of(0, "fingerprint").alias("fingerprint"), of(1, "fingerprint").alias("edited_fingerprint"), of(1, "sha").alias("sha")))
+    out = prints.join(order.select("rid", "n_chars", "next_id"), "rid").join(prints.select(F.col("rid").alias("next_id"), F.col("fingerprint").alias("next")), "next_id")
     return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next", samples).alias("near_next"))

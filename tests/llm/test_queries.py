@@ -405,11 +405,28 @@ def test_packing_edge_cases(spark):
 
 
 def test_fingerprint_edge_cases(spark):
-    got = {r.doc_id: r for r in fingerprints.with_edits(edge_cases(spark)).collect()}
-    assert sorted(got) == [1, 2, 3, 4, 5]
-    assert got[1].fingerprint == got[2].fingerprint == "" and got[1].near_next == 1.0 and got[2].near_next == 0.0
-    assert got[4].fingerprint == got[5].fingerprint and got[4].near_next == 1.0
-    assert fingerprints.with_edits(edge_cases(spark).limit(0)).count() == 0
+    docs = edge_cases(spark)
+    got = fingerprints.with_edits(docs).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2, 3, 4, 4, 5]
+    one, five = [r for r in got if r.doc_id == 1], [r for r in got if r.doc_id == 5][0]
+    assert {r.fingerprint for r in one} == {""} and {r.near_next for r in one} == {1.0}
+    assert {r.fingerprint for r in got if r.doc_id in (4, 5)} == {five.fingerprint} and five.near_next == 0.0
+    assert fingerprints.with_edits(docs.limit(0)).count() == 0
+
+
+def test_fingerprints_of_every_row(spark):
+    """Repeated and missing ids: null ids first, then by the texts' SHA-256."""
+    sha = lambda t: hashlib.sha256((t or "").encode()).hexdigest()
+    given = [(None, "some text of a row"), (7, "one text here"), (7, "another text there"), (None, None), (9, "the last one of all"), (7, "one text here")]
+    for docs in (given, [(k, t) for k, (_, t) in enumerate(given)], [(3, "alone it stands")]):
+        order = sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0, sha(d[1])))
+        want = Counter()
+        for k, (i, text) in enumerate(order):
+            text, after = text or "", order[(k + 1) % len(order)][1] or ""
+            n = len(text) // 4
+            want[i, len(text), sha(text[: len(text) - n] + after[:n])] += 1
+        frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+        assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in fingerprints.with_edits(frame).collect()) == want
 
 
 def test_repeated_ids_with_different_texts(spark):
