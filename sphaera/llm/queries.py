@@ -51,8 +51,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of a replica that was written as WARC files and read back."""
     pages = table(spark, sf_dir, "pages")
-    return warc.fixity(pages, warc.damaged(pages))
+    return warc.fixity(pages, warc.read_files(warc.files(warc.damaged(pages))))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .licenses import BASE, COVERAGE, SLACK, TEMPLATES, postings
 from .neardup import PERCENT, WORDS
-from .warc import _HEAD, FANOUT, LEVELS, SHARD_RECORDS
+from .warc import _HEAD, DATE, FANOUT, LEVELS, SHARD_RECORDS
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -49,15 +49,22 @@ def license_scan() -> str:
 
 
 def warc_fixity() -> str:
+    """Status by comparing the records of both sides one by one, without trees; the trees give the roots only."""
     text = lambda s: " || ".join(f"'{part}'" for part in s.replace("\r\n", "\n").split("\n")).replace("' || '", "' || chr(13) || chr(10) || '")
-    parts = ("CAST(page_id AS VARCHAR)", "coalesce(url, '')", "CAST(octet_length(encode(coalesce(html, ''))) AS VARCHAR)", "coalesce(html, '')")
+    parts = ("CAST(page_id AS VARCHAR)", "coalesce(url, '')", f"'{DATE}'", "CAST(octet_length(encode(html)) AS VARCHAR)", "html")
     record = " || ".join(x for pair in zip(map(text, _HEAD), parts) for x in pair) + " || " + text(_HEAD[-1])
-    levels = "".join(f", l{k + 1} AS (SELECT shard, idx // {FANOUT} AS idx, sha256(string_agg(CAST(idx AS VARCHAR) || ':' || digest, ',' ORDER BY idx)) AS digest FROM l{k} GROUP BY shard, idx // {FANOUT})" for k in range(LEVELS))
+    levels = "".join(f", l{k + 1} AS (SELECT shard, idx // {FANOUT} AS idx, CAST(min(start) AS BIGINT) AS start, CAST(sum(length) AS BIGINT) AS length, sha256(string_agg(concat_ws(':', idx, start, length, digest), ',' ORDER BY idx)) AS digest FROM l{k} GROUP BY shard, idx // {FANOUT})" for k in range(LEVELS))
+    leaves = lambda rows: f"""SELECT page_id, shard, idx, CAST(sum(length) OVER (PARTITION BY shard ORDER BY idx) - length AS BIGINT) AS start, length, digest FROM
+        (SELECT page_id, CAST(floor(page_id / {SHARD_RECORDS}) AS BIGINT) AS shard, page_id - {SHARD_RECORDS} * CAST(floor(page_id / {SHARD_RECORDS}) AS BIGINT) AS idx, octet_length(encode({record})) AS length, sha256({record}) AS digest FROM {rows})"""
     return f"""
-    WITH r AS (SELECT page_id, page_id // {SHARD_RECORDS} AS shard, page_id % {SHARD_RECORDS} AS idx, {record} AS t FROM pages),
-    l0 AS (SELECT page_id, shard, idx, octet_length(encode(t)) AS length, sha256(t) AS digest FROM r){levels}
-    SELECT page_id, l0.shard, CAST(sum(length) OVER (PARTITION BY l0.shard ORDER BY l0.idx) - length AS BIGINT) AS warc_offset, length, l0.digest AS sha256, l{LEVELS}.digest AS shard_root, page_id % 97 <> 7 AND page_id % 193 <> 11 AS intact
-    FROM l0 JOIN l{LEVELS} ON l0.shard = l{LEVELS}.shard"""
+    WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+    d AS (SELECT page_id, url, CASE WHEN page_id % 97 = 7 THEN left(html, greatest(0, CAST(length(html) AS BIGINT) - 1)) || '~' WHEN page_id % 2003 = 13 THEN html || '+' ELSE html END AS html FROM p WHERE page_id % 4001 <> 11
+        UNION ALL SELECT -1 - page_id, url, html FROM p WHERE page_id % 389 = 5),
+    l0 AS ({leaves("p")}), r0 AS ({leaves("d")}){levels}
+    SELECT coalesce(l0.page_id, r0.page_id) AS page_id, coalesce(l0.shard, r0.shard) AS shard, coalesce(l0.start, r0.start) AS warc_offset, coalesce(l0.length, r0.length) AS length, coalesce(l0.digest, r0.digest) AS sha256, t.digest AS shard_root,
+        CASE WHEN r0.page_id IS NULL THEN 'missing' WHEN l0.page_id IS NULL THEN 'extra' WHEN l0.digest <> r0.digest THEN 'corrupt' WHEN l0.start <> r0.start THEN 'moved' ELSE 'intact' END AS status,
+        r0.start AS replica_offset, l0.digest IS NOT DISTINCT FROM r0.digest AND l0.start IS NOT DISTINCT FROM r0.start AS intact
+    FROM l0 FULL JOIN r0 ON l0.page_id = r0.page_id LEFT JOIN l{LEVELS} t ON t.shard = coalesce(l0.shard, r0.shard)"""
 
 
 ORACLE_SQL = {"op2_near_duplicates": near_duplicates(), "op5_license_scan": license_scan(), "op9_warc_fixity": warc_fixity()}

@@ -300,22 +300,88 @@ def test_op8_error_is_small(spark, sf_dir, texts):
     assert np.sqrt((off**2).mean()) < 0.075 and (abs(off) > 0.1).mean() < 0.2
 
 
+def warc_record(p):
+    body = (p.html or "").encode()
+    head = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{p.page_id}>\r\nWARC-Target-URI: {p.url or ''}\r\nWARC-Date: 1970-01-01T00:00:00Z\r\n"
+    return head.encode() + f"Content-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+
+
 def test_op9(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r.page_id: r for r in queries.op9_warc_fixity(spark, sf_dir).collect()}
-    at = 0
+    at, late = 0, set()
     for p in sorted(pages.collect(), key=lambda p: p.page_id):
-        body = p.html.encode()
-        data = f"WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:{p.page_id}>\r\nWARC-Target-URI: {p.url}\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
-        r = got[p.page_id]
+        data, r = warc_record(p), got.pop(p.page_id)
         assert (r.warc_offset, r.length, r.sha256) == (at, len(data), hashlib.sha256(data).hexdigest())
-        assert r.intact == (p.page_id % 97 != 7 and p.page_id % 193 != 11)
+        want = "missing" if p.page_id % 4001 == 11 else "corrupt" if p.page_id % 97 == 7 or p.page_id % 2003 == 13 else "moved" if p.page_id // 1000 in late else "intact"
+        assert r.status == want and r.intact == (want == "intact")
+        late |= {p.page_id // 1000} if p.page_id % 4001 == 11 or p.page_id % 2003 == 13 else set()
         at += len(data)
-    assert sorted(map(tuple, warc.read_files(warc.files(pages)).collect())) == sorted((p.page_id, p.url, p.html) for p in pages.collect())
+    assert {r.status for r in got.values()} == {"extra"} and all(-1 - i in {p.page_id for p in pages.collect() if p.page_id % 389 == 5} for i in got)
+    read = warc.read_files(warc.files(pages, part_bytes=5000)).select("page_id", "url", "html", "date").collect()
+    assert sorted(map(tuple, read)) == sorted((p.page_id, p.url, p.html, warc.DATE) for p in pages.collect())
     whole = warc.tree(pages)
     assert warc.audit(whole, warc.tree(pages)).count() == 0
 
 
+PAGES = "page_id long, url string, html string"
+
+
+def test_audit_finds_shifts_and_extra_records(spark):
+    pages = spark.createDataFrame([(k, f"u{k}", f"<p>{k}</p>") for k in range(2500) if k != 40], PAGES)
+    a = warc.tree(pages)
+    shifted = [nodes.withColumn("start", nodes.start + 1000) if not k else None for k, nodes in enumerate(a)]
+    for k in range(1, len(a)):
+        shifted[k] = warc.parents(shifted[k - 1])
+    assert warc.audit(a, shifted).count() == 2499
+    one = a[0].withColumn("start", warc.F.when(a[0].page_id == 1234, a[0].start + 1).otherwise(a[0].start))
+    levels = [one]
+    for _ in range(warc.LEVELS):
+        levels.append(warc.parents(levels[-1]))
+    assert [(r.shard, r.idx) for r in warc.audit(a, levels).collect()] == [(1, 234)]
+    extra = pages.union(spark.createDataFrame([(40, "u", "x"), (-7, "u", "y"), (99_999, "u", "z")], PAGES))
+    got = {r.page_id: r for r in warc.fixity(pages, extra).collect()}
+    assert {i for i, r in got.items() if r.status == "extra"} == {40, -7, 99_999}
+    assert {i for i, r in got.items() if r.status == "moved"} == set(range(41, 1000))
+    assert got[-7].shard_root is None and got[40].shard_root == got[0].shard_root
+    assert {r.page_id: r.status for r in warc.fixity(extra, pages).collect() if r.status == "missing"} == dict.fromkeys((40, -7, 99_999), "missing")
+
+
+def test_fixity_of_nulls_repeats_and_no_rows(spark):
+    rows_ = [(1, None, None, "a"), (2, "u", "x", "b"), (2, "u", "x", "b"), (2, "u", "other", "c"), (None, "u", "x", "d"), (3, "", "long " * 50000, None)]
+    pages = spark.createDataFrame(rows_, PAGES + ", shard string")
+    got = {r.page_id: r for r in warc.fixity(pages, pages).collect()}
+    assert sorted(got) == [1, 2, 3] and all(r.intact for r in got.values())
+    empty = type("Page", (), {"page_id": 1, "url": None, "html": None})
+    assert got[1].sha256 == hashlib.sha256(warc_record(empty)).hexdigest() and got[2].length % 3 == 0
+    lost = spark.createDataFrame(rows_[:2] + rows_[3:], PAGES + ", shard string")  # one copy less
+    assert {r.page_id: r.status for r in warc.fixity(pages, lost).collect()} == {1: "intact", 2: "corrupt", 3: "moved"}
+    none = pages.limit(0)
+    assert warc.fixity(none, none).count() == 0 and warc.files(none).count() == 0 and warc.read_files(warc.files(none)).count() == 0
+    assert {r.status for r in warc.fixity(none, pages).collect()} == {"extra"} and {r.status for r in warc.fixity(pages, none).collect()} == {"missing"}
+    assert warc.read_files(warc.files(pages, part_bytes=100)).count() == 5
+    dated = pages.withColumn("date", warc.F.lit("2020-02-03T04:05:06Z"))
+    assert {r.date for r in warc.read_files(warc.files(dated)).collect()} == {"2020-02-03T04:05:06Z"}
+
+
+def test_reader_takes_files_of_other_tools():
+    import gzip
+
+    record = lambda head, body: b"WARC/1.1\r\n" + head.encode() + f"\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    info = record("WARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>", b"software: x\r\n")
+    answer = record("warc-type: response\r\nwarc-record-id: <urn:uuid:2>\r\nWARC-Target-URI: <http://a/>\r\nX-Note: one\r\n  two\r\nWARC-Date: 2021-01-01T00:00:00Z", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\n<p>hi</p>")
+    ours = record("WARC-Type: resource\r\nWARC-Record-ID: <urn:page:7>", "é".encode())
+    plain = info + answer + ours
+    want = [("urn:uuid:1", None, "", None, "software: x\r\n"), ("urn:uuid:2", None, "http://a/", "2021-01-01T00:00:00Z", "<p>hi</p>"), ("urn:page:7", 7, "", None, "é")]
+    for data in (plain, gzip.compress(plain), b"".join(map(gzip.compress, (info, answer, ours))), b"\r\n" + plain):
+        assert [warc.page_of(*r) for r in warc.parse_records(data)] == want
+    assert [h["x-note"] for h, _ in warc.parse_records(answer)] == ["one two"]
+    assert [warc.page_of(*r) for r in warc.parse_records(plain.replace(b"\r\n", b"\n").replace(b"Content-Length: 13", b"Content-Length: 12"))][0][0] == "urn:uuid:1"
+    for cut in (plain[:-6], gzip.compress(plain)[:-20], b"", b"no file", b"WARC/1.0\r\nX: y"):
+        assert len(list(warc.parse_records(cut))) <= 3
+    assert len(list(warc.parse_records(plain[:-7]))) == 2
+
+
 def test_op10(spark, sf_dir, texts):
     got = rows(spark, sf_dir, "op10_quality_rules")
     for i, text in texts.items():
