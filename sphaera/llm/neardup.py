@@ -18,14 +18,15 @@ How the links are found:
    is dealt out in blocks of about BLOCK members.  Each member is compared with a few leaders
    of its group (linear in the group), the links found are contracted, and the groups that
    still hold several components compare their members across components.  Within a component
-   no further link can change the result.  Groups of one block compare all of them.  Larger
-   ones, such as unlike documents with a passage in common, are joined on the rarest
+   no further link can change the result, so only members outside a group's largest
+   component are compared with the others.  Groups of one block do so by full sets, larger
+   ones by sketches, block by block.  Where a large group has over MINOR such members, as
+   millions of unlike documents with one passage would, its members are joined on the rarest
    shingles of each set instead: two sets of the wanted similarity share one among the
    ``n - ceil(n * percent / 100) + 1`` shingles that fewest of these sets have, so a common
-   passage joins nothing; a shingle that many have there is dealt out in pairs of blocks.
-   Sizes and sketches are tested inside those joins, the full shingle sets last: pairs
-   whose sketches differ in more than SKETCH_APART bits are beyond the signature distance
-   (at a similarity of 0.75 that is over six deviations off).  No group is capped.
+   passage joins nothing.  Pairs whose sketches differ in more than SKETCH_APART bits are
+   beyond the signature distance (at a similarity of 0.75 that is over six deviations off);
+   all others are decided on their full shingle sets.  No group is capped.
 4. Components come from alternating star contraction, its state in the checkpoint folder.
 """
 
@@ -55,6 +56,8 @@ SKETCH_APART = 74
 LEADERS = 4
 #: Members of a group, or of those that share a shingle, that meet in one task.
 BLOCK = 512
+#: Members outside the largest component of a group with which all of its members are compared by sketch.
+MINOR = 16_384
 PLACES = 128
 #: Up to so many ids (8 bytes each) are broadcast to find their texts; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
@@ -186,34 +189,45 @@ def bounded(rows: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
-def _dealt(rows: DataFrame, key: str, block: int) -> DataFrame:
-    """rows (key, rep, ...) with the number of blocks of their key and each row's block."""
-    large = bounded(rows.groupBy(key).agg(F.count("*").alias("size")).where(F.col("size") > block))
+def _dealt(rows: DataFrame, key: str, sizes: DataFrame, block: int) -> DataFrame:
+    """rows (key, rep, ...) with the number of blocks of their key, if its size is over one block, and each row's block."""
+    large = bounded(sizes.where(F.col("size") > block).select(key, "size"))
     blocks = F.coalesce(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
     return rows.join(large, key, "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int")).drop("size")
 
 
+def _parts(rows: DataFrame, key: str) -> DataFrame:
+    """key, size, giant (the component that most rows have), minor (the rows of others) of the keys whose rows are of several components."""
+    counts = rows.groupBy(key, "component").agg(F.count("*").alias("k"))
+    out = counts.groupBy(key).agg(F.sum("k").alias("size"), F.max_by("component", F.struct("k", "component")).alias("giant"), (F.sum("k") - F.max("k")).alias("minor"), F.count("*").alias("parts"))
+    return out.where("parts > 1").drop("parts")
+
+
+def _met(rows: DataFrame, key: str, percent: int) -> DataFrame:
+    """(a, b) of the near pairs of rows (key, rep, component, giant, blocks, block, n, sketches) with one key that are of different components.
+
+    Only the rows that aren't of their key's giant component are sent to every block.
+    """
+    minor = rows.where("component != giant").drop("block", "giant").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    met = rows.drop("giant", "blocks").join(_other(minor, key, "block"), [key, "block"])
+    return met.where((F.col("component") != F.col("o_component")) & _near(percent)).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+
+
 def _by_rare_shingles(rows: DataFrame, percent: int, block: int) -> DataFrame:
-    """(a, b) of the linked pairs of rows (rep, component, n, sketches, hashes) that are of different components.
+    """(a, b) of the near pairs of rows (rep, component, n, sketches, hashes) that are of different components and share a rare shingle.
 
-    Every such pair shares one of the shingles that lie first in either set, by how many of the rows have them.
+    Every pair that is linked shares one of the shingles that lie first in either set, by how many of the rows have them.
     """
-    rows = durable(rows.dropDuplicates(["rep"]))
     light = [c for c in rows.columns if c != "hashes"]
     single = rows.select("rep", F.explode("hashes").alias("h"))
     frequent = single.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     # a shingle of one row alone can't be shared, but is first in the order, so it counts among the first ones
     held = single.join(frequent, "h").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
     first = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("hs"))
-    chosen = rows.select(*light).join(held, "rep").where(first > 0).select(*light, F.explode(F.expr("slice(hs, 1, greatest(1, int(least(size(hs), n - ceil(n * %d / 100) + 1 - (n - size(hs))))))" % percent)).alias("x"))
-    chosen = durable(_dealt(chosen.select(*light, F.col("x.h").alias("h")), "h", block))
-    # each block meets itself and every later one: the left rows go to (own, later), the right ones to (earlier, own)
-    left = chosen.withColumn("other", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-    right = chosen.withColumn("own", F.explode(F.sequence(F.lit(0), F.col("block")))).withColumn("other", F.col("block")).drop("block").withColumnRenamed("own", "block")
-    met = left.join(_other(right.drop("blocks"), "h", "block", "other"), ["h", "block", "other"])
-    pairs = met.where((F.col("rep") != F.col("o_rep")) & (F.col("component") != F.col("o_component")) & _near(percent)).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
-    full = rows.select("rep", "n", *SKETCHES, "hashes")
-    return pairs.join(full.withColumnRenamed("rep", "a"), "a").join(_other(full).withColumnRenamed("o_rep", "b"), "b").where(_linked(percent)).select("a", "b")
+    chosen = held.join(rows.select(*light), "rep").withColumn("first", first.cast("int")).where("first > 0").select(*light, F.explode(F.expr("slice(hs, 1, least(size(hs), first))")).alias("x"))
+    chosen = durable(chosen.select(*light, F.col("x.h").alias("h")))
+    parts = durable(_parts(chosen, "h"))
+    return _met(_dealt(chosen.join(parts.select("h", "giant"), "h"), "h", parts, block), "h", percent)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -230,15 +244,15 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         state = facts
         ways = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        low = bounded(ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
         large = ways.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = bounded(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = durable(small.where("u != v").distinct())
 
 
-def _labelled(docs: DataFrame, percent: int, words: int, block: int) -> tuple[DataFrame, bool]:
+def _labelled(docs: DataFrame, percent: int, words: int, block: int, minor: int) -> tuple[DataFrame, bool]:
     """doc_id, set0, set1, n_shingles, rid, component for each row of docs, and whether the doc_ids tell the rows apart.
 
     rid is the row's doc_id if they do, else a number of its own; component is the smallest rid reachable.
@@ -255,7 +269,7 @@ def _labelled(docs: DataFrame, percent: int, words: int, block: int) -> tuple[Da
     wanted = groups.select(F.col("rep").alias("rid")).distinct()
     wanted = wanted.select(F.col("rid").alias("id")) if unique else sets.select("rid", F.col("doc_id").alias("id")).join(wanted, "rid").select("id").distinct()
     sets_of = _full_sets(docs.join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), words)
-    dealt = durable(_dealt(groups, "first", block))
+    dealt = durable(_dealt(groups, "first", groups.groupBy("first").agg(F.count("*").alias("size")), block))
     members = durable(dealt.join(classes.select("rep", "set0", "set1", "n", *SKETCHES).join(sets_of, ["set0", "set1"]).drop("set0", "set1"), "rep"))
 
     places = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
@@ -265,13 +279,23 @@ def _labelled(docs: DataFrame, percent: int, words: int, block: int) -> tuple[Da
     labels = components(links.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
 
     placed = dealt.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("first", "rep", "component")
-    mixed = bounded(placed.groupBy("first").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("first"))
-    open_ = members.join(placed, ["first", "rep"]).join(mixed, "first")
-    alone = open_.where("blocks = 1").drop("block", "blocks")
+    mixed = bounded(_parts(placed, "first").drop("size"))
+    open_ = dealt.join(placed, ["first", "rep"]).join(mixed, "first")
+    alone = members.drop("block", "blocks").join(open_.where("blocks = 1").select("first", "rep", "component"), ["first", "rep"])
     across = alone.join(_other(alone, "first"), "first").where((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")) & _linked(percent))
     found = labels.toDF("a", "b").union(across.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
     if not dealt.where("blocks > 1").isEmpty():
-        found = found.union(_by_rare_shingles(open_.where("blocks > 1").drop("first", "block", "blocks"), percent, block))
+        large = durable(open_.where("blocks > 1").join(classes.select("rep", "n", *SKETCHES), "rep"))
+        pairs = _met(large.where(F.col("minor") <= minor).drop("minor"), "first", percent)
+        many = large.where(F.col("minor") > minor).select("rep", "component", "n", *SKETCHES).dropDuplicates(["rep"])
+        if not many.isEmpty():
+            sets_of_many = members.join(many.select("rep"), "rep", "left_semi").select("rep", "hashes").dropDuplicates(["rep"])
+            pairs = pairs.union(_by_rare_shingles(durable(many.join(sets_of_many, "rep")), percent, block))
+        pairs = durable(pairs)
+        ends = bounded(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+        full = durable(members.join(ends, "rep", "left_semi").select("rep", "n", *SKETCHES, "hashes").dropDuplicates(["rep"]))
+        confirmed = pairs.join(full.withColumnRenamed("rep", "a"), "a").join(_other(full).withColumnRenamed("o_rep", "b"), "b").where(_linked(percent))
+        found = found.union(confirmed.select("a", "b"))
     labels = components(found)
 
     ends = classes.select("set0", "set1", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set0", "set1", F.coalesce("component", "rep").alias("end"))
@@ -279,9 +303,9 @@ def _labelled(docs: DataFrame, percent: int, words: int, block: int) -> tuple[Da
     return out.drop("end"), unique
 
 
-def _kept(docs: DataFrame, percent: int, words: int, block: int) -> tuple[DataFrame, bool]:
+def _kept(docs: DataFrame, percent: int, words: int, block: int, minor: int) -> tuple[DataFrame, bool]:
     """The rows of _labelled with component_id (a doc_id, if any) and first: whether the row is the one of its component to keep."""
-    rows, unique = _labelled(docs, percent, words, block)
+    rows, unique = _labelled(docs, percent, words, block, minor)
     if unique:
         return rows.withColumn("component_id", F.col("component")).withColumn("first", F.col("component") == F.col("doc_id")), True
     rows = durable(rows)
@@ -289,7 +313,7 @@ def _kept(docs: DataFrame, percent: int, words: int, block: int) -> tuple[DataFr
     return rows.join(ids, "component").withColumn("first", F.col("lead.rid") == F.col("rid")).drop("lead"), False
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, minor: int = MINOR) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text, ...).
 
     component_id is the smallest doc_id reachable over links, kept marks the rows of that
@@ -299,11 +323,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, words: int = WORDS,
     its component has one, component_id is null and one of these rows is kept.  Other
     columns are ignored; an empty table gives no rows.
     """
-    rows, _ = _kept(documents(docs), percent, words, block)
+    rows, _ = _kept(documents(docs), percent, words, block, minor)
     return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.col("component_id").isNull() & F.col("first")).alias("kept"))
 
 
-def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block: int = BLOCK, minor: int = MINOR) -> DataFrame:
     """One row of docs for each component, with its columns: that of the smallest doc_id; a text without words is a component.
 
     What goes is broadcast behind a count, so that texts aren't shuffled once more; beyond it
@@ -311,7 +335,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, words: int = WORDS, block:
     doc_id and shingle set, so unlike texts of one doc_id both stay; of rows that agree in both
     one stays.  An empty table gives no rows.
     """
-    rows, unique = _kept(documents(docs), percent, words, block)
+    rows, unique = _kept(documents(docs), percent, words, block, minor)
     if unique:
         gone = bounded(rows.where("NOT first").select("doc_id"))
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -530,7 +530,9 @@ def test_groups_of_unlike_documents_with_one_passage(spark):
         texts[k] = w
     texts = {k: " ".join(w) for k, w in texts.items()}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, block=64).collect()}
+    both = [{r.doc_id: r.component_id for r in neardup.near_duplicates(docs, block=64, minor=m).collect()} for m in (neardup.MINOR, 100)]
+    assert both[0] == both[1]
+    got = both[0]
     sets = {i: shingle_set(t) for i, t in texts.items()}
     want = dict(zip(texts, texts))
     for k in range(5000, 5060):
@@ -557,8 +559,8 @@ def test_large_group_is_linked_as_by_brute_force(spark):
         texts[k] = texts[k - 230]
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(5)
     want = linked_components({i: shingle_set(t) for i, t in texts.items()})
-    for block in (neardup.BLOCK, 16):
-        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, block=block).collect()}
+    for block, minor in ((neardup.BLOCK, neardup.MINOR), (16, neardup.MINOR), (16, 5)):
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, block=block, minor=minor).collect()}
         assert got == want
     kept = neardup.keep_one(docs.withColumn("source", docs.text)).collect()
     assert sorted(r.doc_id for r in kept) == sorted(set(got.values()))
