@@ -203,14 +203,14 @@ def _parts(rows: DataFrame, key: str) -> DataFrame:
     return out.where("parts > 1").drop("parts")
 
 
-def _met(rows: DataFrame, key: str, percent: int) -> DataFrame:
-    """(a, b) of the near pairs of rows (key, rep, component, giant, blocks, block, n, sketches) with one key that are of different components.
+def _met(rows: DataFrame, key: str, test: F.Column) -> DataFrame:
+    """(a, b) of the pairs of rows (key, rep, component, giant, blocks, block, ...) with one key that are of different components and pass the test.
 
     Only the rows that aren't of their key's giant component are sent to every block.
     """
     minor = rows.where("component != giant").drop("block", "giant").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
     met = rows.drop("giant", "blocks").join(_other(minor, key, "block"), [key, "block"])
-    return met.where((F.col("component") != F.col("o_component")) & _near(percent)).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+    return met.where((F.col("component") != F.col("o_component")) & test).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
 
 
 def _by_rare_shingles(rows: DataFrame, percent: int, block: int) -> DataFrame:
@@ -227,7 +227,7 @@ def _by_rare_shingles(rows: DataFrame, percent: int, block: int) -> DataFrame:
     chosen = held.join(rows.select(*light), "rep").withColumn("first", first.cast("int")).where("first > 0").select(*light, F.explode(F.expr("slice(hs, 1, least(size(hs), first))")).alias("x"))
     chosen = durable(chosen.select(*light, F.col("x.h").alias("h")))
     parts = durable(_parts(chosen, "h"))
-    return _met(_dealt(chosen.join(parts.select("h", "giant"), "h"), "h", parts, block), "h", percent)
+    return _met(_dealt(chosen.join(parts.select("h", "giant"), "h"), "h", parts, block), "h", _near(percent))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,17 +285,15 @@ def _labelled(docs: DataFrame, percent: int, words: int, block: int, minor: int)
     across = alone.join(_other(alone, "first"), "first").where((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")) & _linked(percent))
     found = labels.toDF("a", "b").union(across.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
     if not dealt.where("blocks > 1").isEmpty():
-        large = durable(open_.where("blocks > 1").join(classes.select("rep", "n", *SKETCHES), "rep"))
-        pairs = _met(large.where(F.col("minor") <= minor).drop("minor"), "first", percent)
-        many = large.where(F.col("minor") > minor).select("rep", "component", "n", *SKETCHES).dropDuplicates(["rep"])
+        large = durable(open_.where("blocks > 1"))
+        wide = members.drop("blocks", "block").join(large.where(F.col("minor") <= minor).drop("minor"), ["first", "rep"])
+        found = found.union(_met(wide, "first", _linked(percent)))
+        many = durable(large.where(F.col("minor") > minor).select("rep", "component").distinct())
         if not many.isEmpty():
-            sets_of_many = members.join(many.select("rep"), "rep", "left_semi").select("rep", "hashes").dropDuplicates(["rep"])
-            pairs = pairs.union(_by_rare_shingles(durable(many.join(sets_of_many, "rep")), percent, block))
-        pairs = durable(pairs)
-        ends = bounded(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
-        full = durable(members.join(ends, "rep", "left_semi").select("rep", "n", *SKETCHES, "hashes").dropDuplicates(["rep"]))
-        confirmed = pairs.join(full.withColumnRenamed("rep", "a"), "a").join(_other(full).withColumnRenamed("o_rep", "b"), "b").where(_linked(percent))
-        found = found.union(confirmed.select("a", "b"))
+            sets_of_many = durable(members.drop("first", "block", "blocks").join(bounded(many.select("rep")), "rep", "left_semi").dropDuplicates(["rep"]))
+            pairs = durable(_by_rare_shingles(many.join(sets_of_many, "rep"), percent, block))
+            confirmed = pairs.join(sets_of_many.withColumnRenamed("rep", "a"), "a").join(_other(sets_of_many).withColumnRenamed("o_rep", "b"), "b").where(_linked(percent))
+            found = found.union(confirmed.select("a", "b"))
     labels = components(found)
 
     ends = classes.select("set0", "set1", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set0", "set1", F.coalesce("component", "rep").alias("end"))
