@@ -119,8 +119,8 @@ def escape_xml(text) -> Column:
 
 
 def round_sig5(v) -> Column:
-    """Five significant digits."""
-    return F.format_string("%.4e", col(v)).cast("double")
+    """Five significant digits, by the number's exact value, halves to even."""
+    return F.call_function("format_number", col(v), F.lit("0.0000E0")).cast("double")
 
 
 def floats(text, n: int | None = None) -> Column:
@@ -139,8 +139,8 @@ def parse_scale(text) -> Column:
 
 
 def looks_like_xacro(text) -> Column:
-    """Unresolved macros: a substitution of a parameter, or an element of the xacro namespace."""
-    return F.coalesce(col(text).rlike(r"\$\{|\$\(|<\s*xacro:"), F.lit(False))
+    """Unresolved macros: a closed substitution that isn't empty, or an element of the xacro namespace."""
+    return F.coalesce(col(text).rlike(r"\$\{[^}]+\}|<xacro:"), F.lit(False))
 
 
 def json_flag(json, path: str, default: bool) -> Column:

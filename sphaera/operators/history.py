@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sphaera.functions.scalar import round_sig5
+
 
 def _by_iteration():
     return W.partitionBy("run_id").orderBy("iteration")
@@ -34,13 +36,18 @@ def density_trigger(steps: DataFrame, interval: int, patience: int = 1, small: f
 
 
 def thinned(steps: DataFrame, k: int) -> DataFrame:
-    """At most k rows of each run, evenly spread by position, the first and the last among them."""
+    """At most k rows of each run by position: where i steps of (n - 1) / (k - 1), cut to whole numbers, lie, the last row for the last step; losses have 5 significant digits."""
     by_run = W.partitionBy("run_id")
     ranked = steps.withColumn("pos", F.row_number().over(_by_iteration()) - 1).withColumn("n", F.count("*").over(by_run))
-    spot = lambda i: F.floor(F.lit(0.0) + i * (F.col("n") - 1) / F.lit(float(max(k - 1, 1))))
-    at = F.floor(F.col("pos") * max(k - 1, 1) / F.greatest(F.col("n") - 1, F.lit(1)))
-    hit = (spot(at) == F.col("pos")) | (spot(at + 1) == F.col("pos"))
-    return ranked.where((F.col("n") <= k) | hit).drop("pos", "n")
+    step = (F.col("n") - 1) / F.lit(float(max(k - 1, 1)))
+    near = F.floor(F.col("pos") / step)  # the products are rounded, so the step that hits may be next to it
+    hit = F.lit(False)
+    for d in (-1, 0, 1, 2):
+        i = near + d
+        hit = hit | ((i >= 0) & (i < max(k - 1, 1)) & (F.floor(i * step) == F.col("pos")))
+    last = (F.col("pos") == F.col("n") - 1) if k > 1 else F.lit(False)
+    out = ranked.where((F.col("n") <= k) | hit | last).drop("pos", "n")
+    return out.withColumn("total_loss", round_sig5("total_loss")) if "total_loss" in out.columns else out
 
 
 def iteration_statistics(spheres: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def link_poses(joint: DataFrame, links: DataFrame) -> DataFrame:
     roots = links.join(joint.select("package_id", F.col("child").alias("link")).distinct(), ["package_id", "link"], "left_anti")
     level = durable(one(roots))
     done = [level]
-    for _ in range(10_000):
+    while True:  # a link has one parent here, so that levels end
         above = level.select("package_id", F.col("link").alias("parent"), *(F.col(c).alias(f"a_{c}") for c in (*R, *T)))
         level = durable(j.join(above, ["package_id", "parent"]).select("package_id", "link", *(v.alias(k) for k, v in compose("a_", "j_").items())))
         if level.isEmpty():

@@ -112,9 +112,11 @@ class Config:
 
 
 def parse_device(text: str) -> str | None:
-    """auto, cpu or gpu (cuda counts as gpu, a number may follow); Spark plans alike for all."""
-    kind = text.strip().lower().split(":")[0]
-    return {"auto": "auto", "cpu": "cpu", "gpu": "gpu", "cuda": "gpu"}.get(kind)
+    """auto, cpu or gpu (cuda and mps count as gpu, a number may follow gpu or cuda); Spark plans alike for all."""
+    kind, colon, number = text.strip().lower().partition(":")
+    if colon and not (kind in ("gpu", "cuda") and number.isascii() and number.isdigit()):
+        return None
+    return {"auto": "auto", "cpu": "cpu", "gpu": "gpu", "cuda": "gpu", "mps": "gpu"}.get(kind)
 
 
 def from_request(variant: str, num_spheres: int, iterations: int, advanced: dict | None = None, **flags) -> Config:

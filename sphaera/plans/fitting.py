@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sphaera.operators import sampling
+from sphaera.operators.containment import rotation
 from sphaera.operators.losses import EPS, LOSSES, TOP_SHARE
 from sphaera.plans.config import Config
 
@@ -57,13 +59,13 @@ def properties(vertices, faces):
     return volume, com, np.trace(central) * np.eye(3) - central
 
 
-def contains(points, vertices, faces, block: int = 1 << 22):
-    """Ray parity along z, edges excluded, for each point; in blocks of bounded memory."""
+def parities(points, vertices, faces, block: int = 1 << 22):
+    """Whether the ray upwards along z and the one downwards cross the mesh an odd number of times, edges excluded, for each point; in blocks of bounded memory."""
     a, b, c, n, _ = face_vectors(vertices, faces)
     keep = np.abs(n[:, 2]) > 0
     a, b, c, n = a[keep], b[keep], c[keep], n[keep]
     lo, hi = vertices[np.unique(faces)].min(0), vertices[np.unique(faces)].max(0)
-    out = np.zeros(len(points), bool)
+    up, down = np.zeros((2, len(points)), bool)
     some = np.flatnonzero(((points >= lo) & (points <= hi)).all(1))
     step = max(1, block // max(1, len(a)))
     for k in range(0, len(some), step):
@@ -72,8 +74,24 @@ def contains(points, vertices, faces, block: int = 1 << 22):
         hit = ((side[0] > 0) & (side[1] > 0) & (side[2] > 0)) | ((side[0] < 0) & (side[1] < 0) & (side[2] < 0))
         depth = a[:, 2] - (n[:, 0] * (p[..., 0] - a[:, 0]) + n[:, 1] * (p[..., 1] - a[:, 1])) / n[:, 2]
         above = depth >= p[..., 2]
-        out[some[k : k + step]] = ((hit & above).sum(1) % 2 == 1) & ((hit & ~above).sum(1) % 2 == 1)
-    return out
+        up[some[k : k + step]] = (hit & above).sum(1) % 2 == 1
+        down[some[k : k + step]] = (hit & ~above).sum(1) % 2 == 1
+    return up, down
+
+
+def contains(points, vertices, faces):
+    """The exact test: both rays along z."""
+    up, down = parities(points, vertices, faces)
+    return up & down
+
+
+def contains_robust(points, vertices, faces):
+    """By a tilted ray where its two halves agree, else by the exact test, as ``containment.robust`` does."""
+    turn = rotation().T
+    up, down = parities(points @ turn, vertices @ turn, faces)
+    odd = np.flatnonzero(up != down)
+    up[odd] = contains(points[odd], vertices, faces)
+    return up
 
 
 def nested(centers, radii):
@@ -409,26 +427,32 @@ def sampled(config: Config, vertices, faces):
         p, q = np.where(over, 1 - p, p), np.where(over, 1 - q, q)
         return a[f] + p[:, None] * (b - a)[f] + q[:, None] * (c - a)[f], normal[f]
 
-    h, grid = min(max(np.cbrt(volume / n), 1e-3 * scale), scale), np.empty((0, 3))
-    for _ in range(10):
-        count = np.maximum(np.ceil((hi - lo) / h - 1e-9), 1).astype(int)
-        if count.prod() > 20_000_000:
-            break
-        axes = [lo[x] + (np.arange(count[x]) + 0.5) * h for x in range(3)]
-        grid = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
-        grid = grid[contains(grid, vertices, faces)]
-        if len(grid) >= n:
-            break
-        h *= 0.75
-    if len(grid) < n:
-        need = n - len(grid)
-        more = lo + rng.random((max(3 * need, 100), 3)) * (hi - lo)
-        more = more[contains(more, vertices, faces)]
-        if len(more) < need:
+    def in_cells(h):
+        """The middles of the cells of edge h that are inside; None where there are too many cells."""
+        count = np.maximum(np.ceil((hi - lo) / h - 1e-9), 1)
+        if count.prod() > sampling.MOST_CELLS:
+            return None
+        axes = [lo[x] + (np.arange(int(count[x])) + 0.5) * h for x in range(3)]
+        cells = np.stack(np.meshgrid(*axes, indexing="ij"), -1).reshape(-1, 3)
+        return cells[contains_robust(cells, vertices, faces)]
+
+    def fill(need):
+        """So many points of the volume, and where it is too thin for them, of the surface, drawn inwards."""
+        p = lo + rng.random((max(sampling.FILL_FACTOR * need, sampling.FILL_LEAST), 3)) * (hi - lo)
+        p = p[contains_robust(p, vertices, faces)]
+        if len(p) < need:
             s, _ = on_surface(2 * need)
-            more = np.vstack([more, s + 0.05 * (com - s)])
-        grid = np.vstack([grid, more[:need]])
-    centers = grid[rng.choice(len(grid), n, replace=False)]
+            p = np.vstack([p, s + sampling.FILL_PULL * (com - s)])
+        return p[:need]
+
+    cells, edge = np.empty((0, 3)), min(max(np.cbrt(volume / n), sampling.LEAST_EDGE * scale), scale)
+    for h in edge * sampling.SHRINK ** np.arange(sampling.TRIES):
+        found = in_cells(h)
+        cells = cells if found is None else found
+        if found is None or len(cells) >= n:
+            break
+    cells = np.vstack([cells, fill(n - len(cells))]) if len(cells) < n else cells
+    centers = cells[rng.choice(len(cells), n, replace=False)]
     g = np.exp(m["initial_radius_variation"] * rng.standard_normal(n))
     radii = g * np.cbrt(3 * volume / (4 * np.pi * (g**3).sum()))
     found, batch = np.empty((0, 3)), min(max(2 * m["num_inside_samples"], 1), 10_000)
@@ -443,6 +467,8 @@ def sampled(config: Config, vertices, faces):
     return found[: m["num_inside_samples"]], surface, normals, centers, radii
 
 
+#: Tasks of a fleet; beyond, a task has several runs.
+MOST_TASKS = 20_000
 SCHEMA = "run_id string, kind string, iteration long, sid long, cx double, cy double, cz double, r double, m double, record string"
 
 
@@ -465,7 +491,9 @@ def fit(runs: DataFrame, vertex: DataFrame, face: DataFrame) -> DataFrame:
     f = face.groupBy("mesh_id").agg(F.sort_array(F.collect_list(F.struct("fid", "a", "b", "c"))).alias("f"))
     flat = lambda c, *names: F.flatten(F.transform(c, lambda x: F.array(*(x[n] for n in names))))
     meshes = v.join(f, "mesh_id").select("mesh_id", flat("v", "x", "y", "z").alias("v"), flat("f", "a", "b", "c").alias("f"))
-    rows = runs.select(F.col("run_id").cast("string"), "mesh_id", "config").join(meshes, "mesh_id").repartition("run_id")
+    rows = runs.select(F.col("run_id").cast("string"), "mesh_id", "config").join(meshes, "mesh_id")
+    # dealt out one by one; a number that is given isn't coalesced, however few bytes the runs have
+    rows = rows.repartition(max(1, min(runs.count(), MOST_TASKS)))
 
     def work(batches):
         for pdf in batches:

@@ -300,12 +300,6 @@ def merged_vertices(spark, sf_dir):
     return v2.groupBy("mesh_id").agg(F.count("*").cast("int").alias("vertices")).join(f2.groupBy("mesh_id").agg(F.count("*").cast("int").alias("faces")), "mesh_id")
 
 
-@query(with_(BOX) + "SELECT mesh_id, b AS body, 12 AS faces FROM box, (VALUES (0), (1)) AS t(b) WHERE mesh_id % 10 = 0")
-def split_bodies(spark, sf_dir):
-    """Two boxes in one mesh, split by their adjacency; a tenth of the meshes."""
-    return _split_pairs(box_bounds(spark, sf_dir).where("mesh_id % 10 = 0"))
-
-
 def _split_pairs(bounds: DataFrame) -> DataFrame:
     f = mesh.boxes(bounds)[1]
     two = f.union(f.select("mesh_id", F.col("fid") + 12, *(F.col(c) + 8 for c in "abc")))
@@ -313,8 +307,8 @@ def _split_pairs(bounds: DataFrame) -> DataFrame:
 
 
 @query(with_(BOX) + "SELECT mesh_id, b AS body, 12 AS faces FROM box, (VALUES (0), (1)) AS t(b)")
-def split_all_bodies(spark, sf_dir):
-    """As split_bodies, of every mesh."""
+def split_bodies(spark, sf_dir):
+    """Two boxes in one mesh, split by their adjacency; every mesh."""
     return _split_pairs(box_bounds(spark, sf_dir))
 
 
@@ -383,7 +377,7 @@ def density_trigger(spark, sf_dir):
     return history.density_trigger(s, 4, 3, 1e-3).select("run_id", "iteration", "trigger")
 
 
-@query(with_(STEP) + ", n AS (SELECT run_id, count(*) AS n FROM step GROUP BY run_id), spot AS (SELECT DISTINCT run_id, CASE WHEN n <= 10 THEN least(k, n - 1) ELSE CAST(floor(k * (n - 1) / CAST(9 AS DOUBLE)) AS BIGINT) END AS iteration FROM n, range(10) AS t(k)) SELECT run_id, iteration, total_loss FROM step JOIN spot USING (run_id, iteration)")
+@query(with_(STEP) + ", n AS (SELECT run_id, count(*) AS n FROM step GROUP BY run_id), spot AS (SELECT DISTINCT run_id, CASE WHEN n <= 10 THEN least(k, n - 1) ELSE CASE WHEN k = 9 THEN n - 1 ELSE CAST(floor(k * ((n - 1) / CAST(9 AS DOUBLE))) AS BIGINT) END END AS iteration FROM n, range(10) AS t(k)) SELECT run_id, iteration, CAST(printf('%.4e', total_loss) AS DOUBLE) AS total_loss FROM step JOIN spot USING (run_id, iteration)")
 def thinned_history(spark, sf_dir):
     return history.thinned(steps(spark, sf_dir), 10).select("run_id", "iteration", "total_loss")
 

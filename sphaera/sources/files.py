@@ -91,7 +91,7 @@ def directories(files: DataFrame) -> DataFrame:
 
 
 def urdfs(files: DataFrame) -> DataFrame:
-    return files.where(F.lower("path").endswith(".urdf")).select("package_id", "path")
+    return files.where(F.col("path").endswith(".urdf")).select("package_id", "path")
 
 
 def select_urdf(files: DataFrame, name: str | None = None) -> DataFrame:
@@ -99,7 +99,7 @@ def select_urdf(files: DataFrame, name: str | None = None) -> DataFrame:
     found = urdfs(files)
     if name:
         found = found.where(F.substring_index("path", "/", -1) == name)
-    grouped = found.groupBy("package_id").agg(F.count("*").alias("n"), F.min("path").alias("path"), F.array_join(F.slice(F.sort_array(F.collect_list("path")), 1, 50), ", ").alias("all"))
+    grouped = found.groupBy("package_id").agg(F.count("*").alias("n"), F.min("path").alias("path"), F.array_join(F.sort_array(F.collect_list("path")), ", ").alias("all"))
     out = files.select("package_id").distinct().join(grouped, "package_id", "left")
     error = F.when(F.col("n").isNull(), F.lit(f"no URDF named {name}" if name else "no URDF in the package")).when(F.col("n") > 1, F.concat(F.lit("several URDFs, name one: "), "all"))
     return out.select("package_id", F.when(F.col("n") == 1, F.col("path")).alias("path"), error.alias("error"))
@@ -128,7 +128,7 @@ def resolve(refs: DataFrame, files: DataFrame) -> DataFrame:
         tries = tries.join(known.withColumnRenamed("key", k).withColumn(f"ok_{k}", F.lit(True)), ["package_id", k], "left")
     base = known.groupBy("package_id", F.substring_index("key", "/", -1).alias("t3")).agg(F.count("*").alias("n"), F.first("key").alias("only")).where("n = 1").drop("n")
     tries = tries.join(base, ["package_id", "t3"], "left")
-    found = F.when(is_file, F.substring(F.col("filename"), 8, 1 << 20)).otherwise(F.coalesce(F.when(F.col("ok_t1"), F.col("t1")), F.when(F.col("ok_t2"), F.col("t2")), F.when(is_pkg, F.col("only"))))
+    found = F.when(is_file, F.expr("substring(filename, 8)")).otherwise(F.coalesce(F.when(F.col("ok_t1"), F.col("t1")), F.when(F.col("ok_t2"), F.col("t2")), F.when(is_pkg, F.col("only"))))
     return tries.select(*refs.columns, found.alias("resolved"))
 
 

@@ -145,3 +145,32 @@ def test_config():
     assert c.get("model.num_spheres") == 4 and Config.from_json(c.to_json()).values == c.values
     with pytest.raises(ConfigError):
         Config({"training": {"flatness_weight": 1.0}}).validate()
+
+
+def test_a_fleet_spreads_over_partitions(spark):
+    v, f = mesh.uv_spheres(spark.sql("SELECT 'ball' AS mesh_id, 0D AS cx, 0D AS cy, 0D AS cz, 1D AS r, 4 AS stacks, 5 AS slices"))
+    c = Config.preset("B", **{"model.num_spheres": 2, "training.iterations": 1, "model.num_inside_samples": 20, "model.num_surface_samples": 20, "random_seed": 0}).to_json()
+    runs = spark.range(16).selectExpr("id AS run_id", "'ball' AS mesh_id").withColumn("config", F.lit(c))
+    parts = fitting.fit(runs, v, f).select("run_id", F.spark_partition_id().alias("p")).distinct().collect()
+    assert len({r.p for r in parts}) >= 8 and len({r.run_id for r in parts}) == 16
+
+
+def test_cells_of_a_cube(spark):
+    """The middles of a cube's eight cells lie on the edges of its triangles as seen along z."""
+    v, f = (x.toPandas() for x in mesh.boxes(spark.createDataFrame([("m", 0.0, 1.0, 0.0, 1.0, 0.0, 1.0)], "mesh_id string, lo_x double, hi_x double, lo_y double, hi_y double, lo_z double, hi_z double")))
+    v, f = v.sort_values("vid")[["x", "y", "z"]].to_numpy(float), f.sort_values("fid")[["a", "b", "c"]].to_numpy(int)
+    cells = np.stack(np.meshgrid(*[[0.25, 0.75]] * 3, indexing="ij"), -1).reshape(-1, 3)
+    assert fitting.contains_robust(cells, v, f).all() and not fitting.contains_robust(cells + 1, v, f).any()
+
+
+def test_thin_meshes_are_filled_up(spark):
+    flat = spark.createDataFrame([("thin", 0.0, 1.0, 0.0, 1.0, 0.0, 1e-7), ("cube", 0.0, 1.0, 0.0, 1.0, 0.0, 1.0)], "mesh_id string, lo_x double, hi_x double, lo_y double, hi_y double, lo_z double, hi_z double")
+    tri = mesh.with_normals(mesh.triangles(*mesh.boxes(flat)))
+    p = mesh.mass_properties(tri)
+    got = sampling.voxel_centers(p, tri, 6, tries=2).toPandas()
+    assert got.groupby("mesh_id").sid.apply(sorted).to_dict() == {"thin": list(range(6)), "cube": list(range(6))}
+    pts = sampling.inside(p, tri, 30).toPandas()
+    assert pts.groupby("mesh_id").pid.apply(sorted).to_dict() == {"thin": list(range(30)), "cube": list(range(30))}
+    opened = tri.where("mesh_id = 'cube' OR fid > 11")
+    left = sampling.inside(p, opened, 5, rounds=2).toPandas()
+    assert left[left.mesh_id == "thin"].pid.isna().tolist() == [True] and len(left[left.mesh_id == "cube"]) == 5
