@@ -244,10 +244,10 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
         state = facts
         ways = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = bounded(ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")))
+        low = ways.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = ways.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u != v").distinct()
-        low = bounded(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
         edges = durable(small.where("u != v").distinct())
 
@@ -285,11 +285,11 @@ def _labelled(docs: DataFrame, percent: int, words: int, block: int, minor: int)
     across = alone.join(_other(alone, "first"), "first").where((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")) & _linked(percent))
     found = labels.toDF("a", "b").union(across.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
     if not dealt.where("blocks > 1").isEmpty():
-        large = durable(open_.where("blocks > 1"))
+        large = open_.where("blocks > 1")
         wide = members.drop("blocks", "block").join(large.where(F.col("minor") <= minor).drop("minor"), ["first", "rep"])
         found = found.union(_met(wide, "first", _linked(percent)))
-        many = durable(large.where(F.col("minor") > minor).select("rep", "component").distinct())
-        if not many.isEmpty():
+        if not mixed.where(F.col("minor") > minor).isEmpty():
+            many = durable(large.where(F.col("minor") > minor).select("rep", "component").distinct())
             sets_of_many = durable(members.drop("first", "block", "blocks").join(bounded(many.select("rep")), "rep", "left_semi").dropDuplicates(["rep"]))
             pairs = durable(_by_rare_shingles(many.join(sets_of_many, "rep"), percent, block))
             confirmed = pairs.join(sets_of_many.withColumnRenamed("rep", "a"), "a").join(_other(sets_of_many).withColumnRenamed("o_rep", "b"), "b").where(_linked(percent))
