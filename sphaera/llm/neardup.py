@@ -280,7 +280,7 @@ def _labelled(docs: DataFrame, percent: int, words: int, block: int, minor: int)
 
     placed = dealt.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("first", "rep", "component")
     mixed = bounded(_parts(placed, "first").drop("size"))
-    open_ = dealt.join(placed, ["first", "rep"]).join(mixed, "first")
+    open_ = bounded(dealt.join(placed, ["first", "rep"]).join(mixed, "first"))  # narrow, so that the sets of other members stay where they are
     alone = members.drop("block", "blocks").join(open_.where("blocks = 1").select("first", "rep", "component"), ["first", "rep"])
     across = alone.join(_other(alone, "first"), "first").where((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")) & _linked(percent))
     found = labels.toDF("a", "b").union(across.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
