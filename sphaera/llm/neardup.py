@@ -15,12 +15,14 @@ How the links are found:
    a probability of about 4e-8 (0.367 ** 17); every key's whole bucket is used, whatever its size.
 3. The members of the buckets with the same smallest member form a group: (group, member)
    rows are a few per near copy, and two documents that share a key share a group.  A group
-   is dealt out in blocks of about BLOCK members.  Each member is compared with a few leaders
-   of its group (linear in the group), the links found are contracted, and the groups that
+   is dealt out in blocks of about BLOCK members.  Each member's sketch is compared with those of
+   a few leaders of its group (linear in the group) and its set with that of the smallest
+   near one, so that a set is sent once; the links found are contracted, members that are
+   near another leader are compared with that too, and the groups that
    still hold several components compare their members across components.  Within a component
    no further link can change the result, so only members outside a group's largest
-   component are compared with the others.  Groups of one block do so by full sets, larger
-   ones by sketches, block by block.  Where a large group has over MINOR such members, as
+   component are compared with the others, block by block: by sketches, then, if any is near,
+   by full sets.  Where a large group has over MINOR such members, as
    millions of unlike documents with one passage would, its members are joined on the rarest
    shingles of each set instead: two sets of the wanted similarity share one among the
    ``n - ceil(n * percent / 100) + 1`` shingles that fewest of these sets have, so a common
@@ -154,7 +156,7 @@ def _keys(classes: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
-    """The hashes of the sets of docs, by their identity."""
+    """The hashes of the set of each row of docs, with its doc_id and its set's identity."""
 
     def run(batches):
         drop_memos()
@@ -162,9 +164,9 @@ def _full_sets(docs: DataFrame, words: int) -> DataFrame:
         for batch in small(batches):
             every = [shingles(t, memo, words) for t in batch.column(1).to_pylist()]
             key = np.array([_identity(s) for s in every], np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([s.view(np.int64) for s in every], pa.list_(pa.int64()))], ["set0", "set1", "hashes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array([s.view(np.int64) for s in every], pa.list_(pa.int64()))], ["doc_id", "set0", "set1", "hashes"])
 
-    return docs.mapInArrow(run, "set0 long, set1 long, hashes array<long>").dropDuplicates(["set0", "set1"])
+    return docs.mapInArrow(run, "doc_id long, set0 long, set1 long, hashes array<long>")
 
 
 def _near(percent: int) -> F.Column:
@@ -203,14 +205,47 @@ def _parts(rows: DataFrame, key: str) -> DataFrame:
     return out.where("parts > 1").drop("parts")
 
 
-def _met(rows: DataFrame, key: str, test: F.Column) -> DataFrame:
-    """(a, b) of the pairs of rows (key, rep, component, giant, blocks, block, ...) with one key that are of different components and pass the test.
+def _dealt_out(rows: DataFrame) -> DataFrame:
+    """rows (..., blocks, block), each once for each block of its key."""
+    return rows.drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
 
-    Only the rows that aren't of their key's giant component are sent to every block.
+
+def _minor(rows: DataFrame) -> DataFrame:
+    """The rows that aren't of their key's giant component; they alone are sent to every block."""
+    return _dealt_out(rows.where("component != giant")).drop("giant")
+
+
+def _met(rows: DataFrame, others: DataFrame, key: str, test: F.Column, how: str = "inner") -> DataFrame:
+    """The pairs of a row (key, block, rep, component, ...) and one of others with its key and block that are of different components and pass the test.
+
+    how ``left_semi``: the rows that are in such a pair, each once, so that what is found stays in proportion to the rows.
+    """
+    other = _other(others, key, "block").withColumnsRenamed({key: "o_key", "block": "o_block"})
+    same = (F.col(key) == F.col("o_key")) & (F.col("block") == F.col("o_block"))
+    return rows.join(other, same & (F.col("component") != F.col("o_component")) & test, how)
+
+
+def _involved(rows: DataFrame, others: DataFrame, hashes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The rows and the others (first, block, rep, component, ...) that are near one another by sketch, with their sets."""
+    near = _near(percent)
+    found = (_met(rows, others, "first", near, "left_semi"), _met(others, rows, "first", near, "left_semi"))
+    return tuple(hashes.join(bounded(x), "rep") for x in found)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b), a < b, of the pairs of rep and o_rep; each once."""
+    return pairs.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """The pairs (rep, to) that are linked by their full sets; a rep has one pair, a ``to`` any number, which are dealt out in blocks.
+
+    Each rep's set is sent once, that of a ``to`` once a block.
     """
-    minor = rows.where("component != giant").drop("block", "giant").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    met = rows.drop("giant", "blocks").join(_other(minor, key, "block"), [key, "block"])
-    return met.where((F.col("component") != F.col("o_component")) & test).select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+    dealt = durable(_dealt(pairs, "to", pairs.groupBy("to").agg(F.count("*").alias("size")), block))
+    ends = dealt.select("to", "blocks").distinct().select(F.col("to").alias("rep"), "to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    met = sets.join(bounded(dealt.drop("blocks")), "rep").join(_other(sets.join(bounded(ends), "rep"), "to", "block"), ["to", "block"])
+    return met.where(_linked(percent)).select("rep", "to")
 
 
 def _by_rare_shingles(rows: DataFrame, percent: int, block: int) -> DataFrame:
@@ -227,7 +262,8 @@ def _by_rare_shingles(rows: DataFrame, percent: int, block: int) -> DataFrame:
     chosen = held.join(rows.select(*light), "rep").withColumn("first", first.cast("int")).where("first > 0").select(*light, F.explode(F.expr("slice(hs, 1, least(size(hs), first))")).alias("x"))
     chosen = durable(chosen.select(*light, F.col("x.h").alias("h")))
     parts = durable(_parts(chosen, "h"))
-    return _met(_dealt(chosen.join(parts.select("h", "giant"), "h"), "h", parts, block), "h", _near(percent))
+    rows = _dealt(chosen.join(parts.select("h", "giant"), "h"), "h", parts, block)
+    return _ordered(_met(rows, _minor(rows), "h", _near(percent)))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -268,32 +304,42 @@ def _labelled(docs: DataFrame, percent: int, words: int, block: int, minor: int)
 
     wanted = groups.select(F.col("rep").alias("rid")).distinct()
     wanted = wanted.select(F.col("rid").alias("id")) if unique else sets.select("rid", F.col("doc_id").alias("id")).join(wanted, "rid").select("id").distinct()
-    sets_of = _full_sets(docs.join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), words)
-    dealt = durable(_dealt(groups, "first", groups.groupBy("first").agg(F.count("*").alias("size")), block))
-    members = durable(dealt.join(classes.select("rep", "set0", "set1", "n", *SKETCHES).join(sets_of, ["set0", "set1"]).drop("set0", "set1"), "rep"))
+    hashes = _full_sets(docs.join(bounded(wanted), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi"), words)
+    if unique:  # a class's rep is the doc_id of one of its rows
+        hashes = hashes.select(F.col("doc_id").alias("rep"), "hashes")
+    else:
+        hashes = hashes.drop("doc_id").dropDuplicates(["set0", "set1"]).join(classes.select("rep", "set0", "set1"), ["set0", "set1"]).select("rep", "hashes")
+    hashes = durable(hashes)  # the only copy of the sets of all members
+    facts = classes.select("rep", "n", *SKETCHES)
+    dealt = durable(_dealt(groups, "first", groups.groupBy("first").agg(F.count("*").alias("size")), block).join(facts, "rep"))
 
     places = [F.min_by("rep", F.xxhash64("rep", F.lit(k))).alias(f"l{k}") for k in range(LEADERS)]
     leaders = groups.groupBy("first").agg(*places).select("first", F.explode(F.array("first", *(f"l{k}" for k in range(LEADERS)))).alias("rep")).distinct()
-    led = members.join(leaders, ["first", "rep"]).drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    links = members.join(_other(led, "first", "block"), ["first", "block"]).where((F.col("rep") != F.col("o_rep")) & _linked(percent))
-    labels = components(links.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
-
-    placed = dealt.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")).select("first", "rep", "component")
-    mixed = bounded(_parts(placed, "first").drop("size"))
-    open_ = bounded(dealt.join(placed, ["first", "rep"]).join(mixed, "first"))  # narrow, so that the sets of other members stay where they are
-    alone = members.drop("block", "blocks").join(open_.where("blocks = 1").select("first", "rep", "component"), ["first", "rep"])
-    across = alone.join(_other(alone, "first"), "first").where((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")) & _linked(percent))
-    found = labels.toDF("a", "b").union(across.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")))
-    if not dealt.where("blocks > 1").isEmpty():
-        large = open_.where("blocks > 1")
-        wide = members.drop("blocks", "block").join(large.where(F.col("minor") <= minor).drop("minor"), ["first", "rep"])
-        found = found.union(_met(wide, "first", _linked(percent)))
-        if not mixed.where(F.col("minor") > minor).isEmpty():
-            many = durable(large.where(F.col("minor") > minor).select("rep", "component").distinct())
-            sets_of_many = durable(members.drop("first", "block", "blocks").join(bounded(many.select("rep")), "rep", "left_semi").dropDuplicates(["rep"]))
-            pairs = durable(_by_rare_shingles(many.join(sets_of_many, "rep"), percent, block))
-            confirmed = pairs.join(sets_of_many.withColumnRenamed("rep", "a"), "a").join(_other(sets_of_many).withColumnRenamed("o_rep", "b"), "b").where(_linked(percent))
-            found = found.union(confirmed.select("a", "b"))
+    led = durable(dealt.join(leaders, ["first", "rep"]))
+    met = dealt.drop("blocks").join(_other(_dealt_out(led), "first", "block"), ["first", "block"]).where((F.col("rep") != F.col("o_rep")) & _near(percent))
+    nearest = met.select(F.greatest("rep", "o_rep").alias("rep"), F.least("rep", "o_rep").alias("to")).groupBy("rep").agg(F.min("to").alias("to"))
+    full = hashes.join(bounded(facts.join(groups.select("rep").distinct(), "rep", "left_semi")), "rep")
+    labels = components(_confirmed(durable(nearest), full, percent, block).toDF("a", "b"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    # the other leaders, for what the first contraction left apart
+    rows, others = _involved(placed(dealt).drop("blocks"), _dealt_out(placed(led)), hashes, percent)
+    labels = components(labels.toDF("a", "b").union(_ordered(_met(rows, others, "first", _linked(percent)))))
+
+    mixed = bounded(_parts(placed(dealt), "first").drop("size"))
+    open_ = durable(placed(dealt).join(mixed, "first"))
+    few = open_.where((F.col("blocks") == 1) | (F.col("minor") <= minor)).drop("minor")
+    rows, others = _involved(few.drop("blocks", "giant"), _minor(few), hashes, percent)
+    found = labels.toDF("a", "b").union(_ordered(_met(rows, others, "first", _linked(percent))))
+    many = open_.where((F.col("blocks") > 1) & (F.col("minor") > minor))
+    if not many.isEmpty():
+        many = durable(many.select("rep", "component").distinct())
+        sets_of_many = durable(full.join(bounded(many.select("rep")), "rep", "left_semi"))
+        pairs = durable(_by_rare_shingles(many.join(sets_of_many, "rep"), percent, block))
+        confirmed = pairs.join(sets_of_many.withColumnRenamed("rep", "a"), "a").join(_other(sets_of_many).withColumnRenamed("o_rep", "b"), "b").where(_linked(percent))
+        found = found.union(confirmed.select("a", "b"))
     labels = components(found)
 
     ends = classes.select("set0", "set1", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("set0", "set1", F.coalesce("component", "rep").alias("end"))
