@@ -6,8 +6,8 @@ there; postings of one template that agree on where the template would start are
 and a start that gathers enough of the template's rarity is reported if the file also holds
 the template's mandatory key phrase.  Plain phrases give the base labels beside that.
 
-DataFrame functions only.  The index is a constant of some hundred rows, so its join is
-broadcast; what is shuffled is a row for each aligned start of a file that has rare words.
+DataFrame functions only.  The index is a constant of some hundred postings; it is looked up
+within each row, so the text is read once and nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -141,43 +141,53 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def base_labels(rows: DataFrame) -> DataFrame:
-    """rows of _rows -> doc_id, n_words, n_base, first_word, last_word, base (array of labels)."""
+    """rows of _rows with n_base, first_word, last_word, base (array of labels)."""
     s = F.col("s")
     found = [s.contains(f" {p} ") for p, _ in BASE]
     counts = [F.when(x, F.regexp_count(s, F.lit(f" {p}(?= )")).cast("long")).otherwise(F.lit(0).cast("long")) for x, (p, _) in zip(found, BASE, strict=True)]
     firsts = [F.when(x, _spaces(F.substring_index(s, f" {p} ", 1))) for x, (p, _) in zip(found, BASE, strict=True)]
     lasts = [F.when(x, F.col("n_words") - _spaces(F.substring_index(s, f" {p} ", -1)) - len(p.split())) for x, (p, _) in zip(found, BASE, strict=True)]
     labels = F.array_compact(F.array(*(F.when(x, F.lit(label)) for x, (_, label) in zip(found, BASE, strict=True))))
-    return rows.select("doc_id", "n_words", sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), labels.alias("base"))
+    return rows.select("*", sum(counts[1:], counts[0]).alias("n_base"), F.least(*firsts).alias("first_word"), F.greatest(*lasts).alias("last_word"), labels.alias("base"))
+
+
+def _index() -> str:
+    """The postings as a SQL array: for each template's number its (word, at, weight)."""
+    held: dict[int, list[str]] = {}
+    for w, k, at, weight in postings():
+        held.setdefault(k, []).append(f"named_struct('word', '{w}', 'at', {at}, 'weight', {weight!r}D)")
+    return "array(" + ", ".join("array(" + ", ".join(held[k]) + ")" for k in range(len(TEMPLATES))) + ")"
 
 
 def template_labels(rows: DataFrame) -> DataFrame:
-    """rows of _rows -> doc_id, found (array of labels), coverage, for those where a template is confirmed."""
-    index = postings()
-    rare = F.array(*(F.lit(w) for w in sorted({w for w, *_ in index})))
-    rows = rows.select("doc_id", "s").where("s <> ' '").withColumn("words", F.split(F.trim("s"), " ")).where(F.arrays_overlap("words", rare))
-    placed = rows.withColumn("phrases", _phrases(F.col("s"))).where("size(phrases) > 0").select("doc_id", "phrases", F.posexplode("words").alias("i", "word"))
-    values = ", ".join(f"('{w}', {k}, {at}, {weight!r}D)" for w, k, at, weight in index)
-    table = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS postings(word, template, at, weight)")
-    hits = placed.join(F.broadcast(table), "word").where(F.expr("array_contains(phrases, template)"))
-    starts = hits.select("doc_id", "template", "at", "weight", F.explode(F.sequence(F.col("i") - F.col("at") - SLACK, F.col("i") - F.col("at") + SLACK)).alias("start"))
-    once = starts.groupBy("doc_id", "template", "start", "at").agg(F.max("weight").alias("weight"))
-    aligned = once.groupBy("doc_id", "template", "start").agg(F.sum("weight").alias("coverage")).where(F.col("coverage") >= COVERAGE)
-    label = F.element_at(F.array(*(F.lit(x) for x, _, _ in TEMPLATES)), F.col("template") + 1)
-    return aligned.groupBy("doc_id").agg(F.collect_set(label).alias("found"), F.least(F.max("coverage"), F.lit(1.0)).alias("coverage"))
+    """rows of _rows with found (array of labels) and coverage (null: none) of the templates that are confirmed.
+
+    Within the row: where a posting's word stands gives the starts that its template may have;
+    each start looks for the other postings at their places only, so a text's time is in
+    proportion to its length.
+    """
+    index = _index()
+    # the array of one struct binds the words, so that they are split once a row
+    starts = f"flatten(transform({index}[t], p -> flatten(transform(filter(sequence(0, size(r.words) - 1), i -> r.words[i] = p.word), i -> sequence(i - p.at - {SLACK}, i - p.at + {SLACK})))))"
+    near = f"slice(r.words, greatest(start + p.at - {SLACK}, 0) + 1, greatest(start + p.at + {SLACK} + 1 - greatest(start + p.at - {SLACK}, 0), 0))"
+    coverage = f"aggregate({index}[t], 0D, (sum, p) -> sum + IF(array_contains({near}, p.word), p.weight, 0D))"
+    best = f"flatten(transform(array(named_struct('words', split(trim(s), ' '), 'phrases', phrases)), r -> transform(r.phrases, t -> named_struct('template', t, 'coverage', array_max(transform(array_distinct({starts}), start -> {coverage}))))))"
+    aligned = F.expr(f"CASE WHEN size(phrases) > 0 THEN filter({best}, x -> x.coverage >= {COVERAGE}D) END")
+    rows = rows.withColumn("phrases", _phrases(F.col("s"))).withColumn("aligned", aligned)
+    label = lambda x: F.element_at(F.array(*(F.lit(name) for name, _, _ in TEMPLATES)), x["template"] + 1)
+    found = F.array_distinct(F.transform("aligned", label))
+    return rows.withColumns({"found": F.coalesce(found, F.array().cast("array<string>")), "coverage": F.when(F.size(found) > 0, F.least(F.array_max(F.transform("aligned", lambda x: x["coverage"])), F.lit(1.0)))}).drop("phrases", "aligned")
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of docs (doc_id, text, ...).
 
     score is 1 where a base phrase stands, else the largest share of a confirmed template's
-    rarity that is aligned, else 0.  A null or empty text has no words and no labels.  Rows
-    that repeat are each returned; rows of one doc_id with different texts share the labels
-    that the templates give any of them.  Other columns are ignored; an empty table gives no
-    rows.
+    rarity that is aligned, else 0.  A null or empty text has no words and no labels.  Every
+    row is judged by its own text, also where a doc_id repeats or is null.  Other columns are
+    ignored; an empty table gives no rows.
     """
-    rows = _rows(docs)
-    out = base_labels(rows).join(template_labels(rows), "doc_id", "left")
-    both = F.array_sort(F.array_union("base", F.coalesce("found", F.array().cast("array<string>"))))
+    out = template_labels(base_labels(_rows(docs)))
+    both = F.array_sort(F.array_union("base", "found"))
     score = F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.round("coverage", 6), F.lit(0.0)))
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join(F.array_sort("base"), ",").alias("base_labels"), F.array_join(both, ",").alias("labels"), score.alias("score"))

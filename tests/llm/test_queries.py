@@ -229,6 +229,14 @@ def test_op5_ordinary_notices(spark):
     assert {NOTICES[r.doc_id]: r.labels for r in licenses.scan(docs).collect()} == {n: n[1] for n in NOTICES}
 
 
+def test_op5_rows_apart(spark):
+    """Rows of one doc_id, or none, are each judged by their own text, notices at either end of long texts too."""
+    gpl = "GNU General Public License version 3"
+    texts = [(1, gpl), (1, "no notice"), (None, gpl), (None, "gnu general public"), (2, "word " * 200_000 + gpl), (3, gpl + " license" * 50_000)]
+    got = sorted((r.doc_id or 0, r.n_words, r.labels) for r in licenses.scan(spark.createDataFrame(texts, "doc_id long, text string")).collect())
+    assert got == [(0, 3, ""), (0, 6, "gpl-3"), (1, 2, ""), (1, 6, "gpl-3"), (2, 200_006, "gpl-3"), (3, 50_006, "gpl-3")]
+
+
 def test_op5_notices_as_the_sql(spark):
     import duckdb
     import pandas as pd
