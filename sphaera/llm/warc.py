@@ -11,6 +11,7 @@ leaves of damaged branches only.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ DATE = "1970-01-01T00:00:00Z"
 #: What stands between page id, url, date, length and body of a record.
 _HEAD = ("WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:", ">\r\nWARC-Target-URI: ", "\r\nWARC-Date: ", "\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", "\r\n\r\n", "\r\n\r\n")
 _URN = "urn:page:"
+#: The end of a record's head, the first of either kind: sought apart, the one that a file lacks is sought to the file's end for each record.
+_GAP = re.compile(rb"\r\n\r\n|\n\n")
 
 
 def record(page_id: Column, url: Column, html: Column, date: Column | None = None) -> Column:
@@ -69,12 +72,11 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             at += 1
         if data[at : at + 5] != b"WARC/":
             return
-        ends = [(k, len(gap)) for gap in (b"\r\n\r\n", b"\n\n") if (k := data.find(gap, at)) >= 0]
-        if not ends:
+        gap = _GAP.search(data, at)
+        if not gap:
             return
-        end, gap = min(ends)
         head, last = {}, None
-        for line in data[at:end].decode("utf-8", "replace").splitlines()[1:]:
+        for line in data[at : gap.start()].decode("utf-8", "replace").splitlines()[1:]:
             if line[:1] in (" ", "\t") and last:  # a folded line
                 head[last] += " " + line.strip()
             elif ":" in line:
@@ -82,10 +84,10 @@ def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
                 last = last.strip().lower()
                 head[last] = value.strip()
         size = head.get("content-length", "")
-        if not size.isdecimal() or len(body := data[end + gap : end + gap + int(size)]) < int(size):
+        if not size.isdecimal() or len(body := data[gap.end() : gap.end() + int(size)]) < int(size):
             return
         yield head, body
-        at = end + gap + int(size)
+        at = gap.end() + int(size)
 
 
 def page_of(head: dict[str, str], body: bytes) -> tuple[str, int | None, str, str | None, str | None]:

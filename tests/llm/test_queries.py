@@ -762,3 +762,18 @@ def test_stages_with_nulls_repeats_and_clashing_names(spark, stage):
     got = stage(docs)
     assert got.columns == docs.columns and {tuple(r) for r in got.collect()} <= {(*r, 7, True, "z") for r in rows_}
     assert stage(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("end", [b"\r\n", b"\n"])
+def test_records_are_parsed_in_linear_time(end):
+    import time
+
+    one = end.join((b"WARC/1.0", b"WARC-Record-ID: <urn:page:1>", b"Content-Length: 400", b"", b"x" * 400, b"", b""))
+
+    def seconds(n: int) -> float:
+        data, began = one * n, time.process_time()
+        assert sum(1 for _ in warc.parse_records(data)) == n
+        return time.process_time() - began
+
+    few = min(seconds(1000) for _ in range(3))
+    assert seconds(32_000) < 32 * 4 * few
