@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a worker's memo, both generations together.
-MEMO_BYTES = 32 << 20
+MEMO_BYTES = 128 << 20
 #: What a dictionary's entry takes beside its key and value.
 ENTRY_BYTES = 100
 #: Rows that a worker takes at once.

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, documents, durable, small, worker_memo
-from .tokens import balanced, load_tokenizer, setup
+from .tokens import _byte_of, balanced, load_tokenizer, setup
 
 SIZE = 2048
 END_ID = 1
@@ -35,12 +36,24 @@ WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type":
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
+#: Letters before this one (Latin ones) have one composed form, and are letters to any version of Unicode.
+LATIN_END = "\u0250"
+
+
 def _core(word: str) -> tuple[str, str]:
     """A word without case and the comma or full stop after it, which such a vocabulary's pre-tokens are apart from letters."""
     body, end = (word[:-1], word[-1]) if word[-1:] in (",", ".") else (word, "")
-    if not body.isalpha() or "\u03a3" in body:  # only the capital sigma's lower case depends on what is around it
+    core = body.lower()
+    if not core.isalpha() or "\u03a3" in body:  # a lower case may end in a mark, which joins those after it; only the capital sigma's depends on what is around it
         return word, ""
-    return body.lower(), end
+    return core, end
+
+
+@cache
+def _latin() -> dict[int, str]:
+    """Letters before LATIN_END as byte-level vocabularies write their bytes."""
+    shown = {b: c for c, b in _byte_of().items()}
+    return {k: "".join(shown[b] for b in chr(k).encode()) for k in range(ord(LATIN_END))}
 
 
 class Ids:
@@ -53,7 +66,7 @@ class Ids:
         pieces = first.get("pattern") == {"Regex": WORD_PATTERN} and [x["type"] for x in rest] == ["ByteLevel"] and not rest[0]["add_prefix_space"] and not rest[0]["use_regex"]
         self.by_words = about["plain"] and about["normalizer"] == WORD_NORMALIZER and pieces
         self.ends = dict(zip(("", ",", "."), self._encoded(["", ",", "."]), strict=True)) if self.by_words else {}
-        self.memo = Memo(self._learn)
+        self.memo, self.cores = Memo(self._learn), Memo(self._learn_cores)
 
     def _encoded(self, texts: list[str]) -> Iterator[bytes]:
         for batch in balanced(texts):
@@ -61,16 +74,20 @@ class Ids:
                 yield np.array(x.ids, "<u4").tobytes()
 
     def _learn(self, words: list[str]) -> list[bytes]:
-        """ASCII letters are one pre-token, so they go straight to the merges; the rest to the library."""
-        out, rest, tokenize = [b""] * len(words), [], self.tokenizer.model.tokenize
-        for k, word in enumerate(words):
-            core, end = _core(word)
-            if core.isascii() and core.isalpha():
-                out[k] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(core)]) + self.ends[end]
+        """Words that differ in case and the mark after them only are encoded once."""
+        cores, ends = zip(*map(_core, words)) if words else ((), ())
+        return [ids + self.ends[end] for ids, end in zip(self.cores.values(list(cores)), ends, strict=True)]
+
+    def _learn_cores(self, cores: list[str]) -> list[bytes]:
+        """Lower-case Latin letters are one pre-token, so they go straight to the merges; the rest to the library."""
+        out, rest, tokenize = [b""] * len(cores), [], self.tokenizer.model.tokenize
+        for k, core in enumerate(cores):
+            if core.isalpha() and core.islower() and max(core) < LATIN_END:
+                out[k] = b"".join([t.id.to_bytes(4, "little") for t in tokenize(core if core.isascii() else core.translate(_latin()))])
             else:
-                rest.append((k, core, end))
-        for (k, _, end), ids in zip(rest, self._encoded([core for _, core, _ in rest]), strict=True):
-            out[k] = ids + self.ends[end]
+                rest.append(k)
+        for k, ids in zip(rest, self._encoded([cores[k] for k in rest]), strict=True):
+            out[k] = ids
         return out
 
     def of(self, text: str | None) -> bytes:

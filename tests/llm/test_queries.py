@@ -777,3 +777,24 @@ def test_records_are_parsed_in_linear_time(end):
 
     few = min(seconds(1000) for _ in range(3))
     assert seconds(32_000) < 32 * 4 * few
+
+
+def test_words_that_come_back_are_learnt_once():
+    from sphaera.llm.common import Memo
+
+    learnt = []
+    memo = Memo(lambda words: learnt.extend(words) or [b"1234"] * len(words))
+    words = [f"word{k}" for k in range(250_000)]
+    for _ in range(2):
+        for k in range(0, len(words), 1000):
+            assert list(memo.values(words[k : k + 1000])) == [b"1234"] * 1000
+    assert len(learnt) == len(words)
+
+
+def test_ids_of_words_are_those_of_the_library():
+    import random
+
+    rng, ids = random.Random(3), packing.Ids(queries.tokenizer_path("word_bpe_49k.json"))
+    letters = [c for k in range(33, 0x260) if (c := chr(k)).isalpha()] + list("̧́Σẞ")
+    words = ["İ.", "xİ,", "Çé.", "ªº", *("".join(rng.choices(letters, k=rng.randint(1, 8))) + rng.choice(["", ",", "."]) for _ in range(3000))]
+    assert ids.by_words and list(ids._learn(words)) == list(ids._encoded(words))
