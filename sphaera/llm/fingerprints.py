@@ -9,7 +9,8 @@ weights.  The likeness of two fingerprints is the share of equal samples.
 
 DataFrame functions only.  Counting happens within a row (sort the hashes, find where runs
 begin), so the words of a document are never shuffled; the minima are plain long columns of
-a hash aggregate whose input already lies by doc_id.
+a hash aggregate whose input already lies by doc_id.  A text and its edited text share what
+they have in common: each term's draws are worked out once for both.
 """
 
 from __future__ import annotations
@@ -22,42 +23,78 @@ from .common import documents, durable
 
 #: The standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 64
+#: Hash functions whose samples a row takes at once.
+AT_ONCE = 4
 WORD_GAP = "[ \\t-\\r]+"
+#: A text up to its last gap.
+SHARED = "(?s)^.*[ \\t-\\r]"
 
 
-def _weights(rows: DataFrame) -> DataFrame:
-    """Each row of (..., text) -> rows of (..., term, ln_w), one for each distinct word; one of nulls where there is none."""
-    hashes = F.sort_array(F.transform(F.filter(F.split("text", WORD_GAP), lambda w: w != ""), lambda w: F.xxhash64(w)))
-    rows = rows.select(*(c for c in rows.columns if c != "text"), hashes.alias("h"))
+def _weights(rows: DataFrame, keys: list[str], pieces: list[tuple[Column, tuple[int, ...]]]) -> DataFrame:
+    """keys, term, ln_w0, ln_w1, ...: a row for each distinct word of the sides' texts together, one of nulls where there is none.
+
+    pieces: up to four texts that end at word boundaries, each with the numbers of the sides
+    in whose text it stands; ln_w is null on a side that lacks the word.  A word's hash gives
+    its last two bits to the number of its piece, so each term is a run of up to four runs.
+    """
+    words = lambda text: F.filter(F.split(text, WORD_GAP), lambda w: w != "")
+    tagged = lambda j: lambda w: F.xxhash64(w).bitwiseAND(F.lit(-4)).bitwiseOR(F.lit(j))
+    hashes = (F.transform(words(text), tagged(j)) for j, (text, _) in enumerate(pieces))
+    rows = rows.select(*keys, F.sort_array(F.concat(*hashes)).alias("h"))
     begins = F.filter(F.transform("h", lambda x, i: F.when((i == 0) | (F.get("h", i - 1) != x), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("b", begins)
-    keep = [c for c in rows.columns if c not in ("h", "b")]
-    rows = rows.select(*keep, "h", "b", F.posexplode_outer("b").alias("k", "at"))
-    weight = F.coalesce(F.get("b", F.col("k") + 1), F.size("h")) - F.col("at")
-    return rows.select(*keep, F.get("h", F.col("at")).alias("term"), F.log(weight.cast("double")).alias("ln_w"))
+    rows = rows.withColumn("b", begins).select(*keys, "h", "b", F.posexplode_outer("b").alias("k", "at"))
+    term = lambda at: F.get("h", at).bitwiseAND(F.lit(-4))
+    rows = rows.where(F.col("at").isNull() | (F.col("at") == 0) | (term(F.col("at") - 1) != term(F.col("at"))))
+    runs = []
+    for j in range(len(pieces)):
+        at, to = F.get("b", F.col("k") + j), F.coalesce(F.get("b", F.col("k") + j + 1), F.size("h"))
+        runs.append((F.when(term(at) == term(F.col("at")), to - at).otherwise(0), F.get("h", at).bitwiseAND(F.lit(3))))
+    sides = sorted({side for _, stands in pieces for side in stands})
+    weight = lambda side: sum(F.when(piece.isin([j for j, (_, stands) in enumerate(pieces) if side in stands]), n).otherwise(0) for n, piece in runs)
+    return rows.select(*keys, term(F.col("at")).alias("term"), *(F.log(weight(side).cast("double")).alias(f"ln_w{side}") for side in sides))
+
+
+def _draws(j: int) -> list[Column]:
+    """r, ln c and b of a term's j-th hash in its row."""
+    x = F.col(f"x{j}")
+    u = lambda shift: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(4095)) + F.lit(0.5)) / F.lit(4096.0)
+    return [(-F.log(u(0) * u(12))).alias(f"r{j}"), F.log(-F.log(u(24) * u(36))).alias(f"ln_c{j}"), (F.shiftrightunsigned(x, 48) / F.lit(65536.0)).alias(f"b{j}")]
 
 
-def _sample(k: int) -> Column:
-    """For hash function k: ln a, then 24 bits of (term, t), in one long whose order is that of a."""
-    x = F.xxhash64("term", F.lit(k))
-    u = lambda shift: (F.shiftrightunsigned(x, shift).bitwiseAND(F.lit(4095)) + F.lit(0.5)) / F.lit(4096.0)
-    r, ln_c = -F.log(u(0) * u(12)), F.log(-F.log(u(24) * u(36)))
-    b = F.shiftrightunsigned(x, 48) / F.lit(65536.0)
-    t = F.floor(F.col("ln_w") / r + b)
+def _sample(j: int, side: int) -> Column:
+    """For the j-th hash function of the row: ln a, then 24 bits of (term, t), in one long whose order is that of a; null where the side lacks the term."""
+    r, ln_c, b = (F.col(f"{c}{j}") for c in ("r", "ln_c", "b"))
+    t = F.floor(F.col(f"ln_w{side}") / r + b)
     ln_a = ln_c - r * (t - b + 1)
     place = F.floor((ln_a + F.lit(64.0)) * F.lit(float(1 << 31)))
     return F.shiftleft(place, 24).bitwiseOR(F.col("term").bitwiseXOR(F.shiftleft(t, 3)).bitwiseAND(F.lit((1 << 24) - 1)))
 
 
+def _prints(rows: DataFrame, keys: list[str], pieces: list[tuple[Column, tuple[int, ...]]], samples: int) -> DataFrame:
+    """keys, print0, print1, ...: each side's samples, 3 bytes each; empty where its text has no word.
+
+    The sides' words are taken together, so what a term draws is worked out once for all of
+    them.  A term's row is repeated for each AT_ONCE hash functions: the code of all of them
+    side by side is too long for the JVM to compile.
+    """
+    sides = sorted({side for _, stands in pieces for side in stands})
+    rows = _weights(rows, keys, pieces).withColumn("first", F.explode(F.array(*(F.lit(k) for k in range(0, samples, AT_ONCE)))))
+    given = [*keys, "first", "term", *(f"ln_w{side}" for side in sides)]
+    rows = rows.select(*given, *(F.xxhash64("term", F.col("first") + j).alias(f"x{j}") for j in range(AT_ONCE)))
+    rows = rows.select(*given, *(c for j in range(AT_ONCE) for c in _draws(j)))
+    minima = rows.groupBy(*keys, "first").agg(*(F.min(_sample(j, side)).alias(f"m{side}_{j}") for side in sides for j in range(AT_ONCE)))
+    digits = lambda side, j: F.lpad(F.hex(F.col(f"m{side}_{j}").bitwiseAND(F.lit((1 << 24) - 1))), 6, "0")
+    part = lambda side: F.concat(*(F.when(F.col("first") + j < samples, digits(side, j)).otherwise("") for j in range(AT_ONCE)))
+    parts = F.sort_array(F.collect_list(F.struct("first", *(part(side).alias(f"part{side}") for side in sides)))).alias("parts")
+    return minima.groupBy(*keys).agg(parts).select(*keys, *(F.unhex(F.array_join(F.col(f"parts.part{side}"), "")).alias(f"print{side}") for side in sides))
+
+
 def fingerprint(rows: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
     """keys, fingerprint: the samples of each row's text in hex, 6 digits each; empty where the text has no word.
 
     keys must tell the rows apart.
     """
-    minima = [F.min(_sample(k)).alias(f"m{k}") for k in range(samples)]
-    out = _weights(rows.select(*keys, "text")).groupBy(*keys).agg(*minima)
-    hexes = [F.lpad(F.lower(F.hex(F.col(f"m{k}").bitwiseAND(F.lit((1 << 24) - 1)))), 6, "0") for k in range(samples)]
-    return out.select(*keys, F.when(F.col("m0").isNull(), "").otherwise(F.concat(*hexes)).alias("fingerprint"))
+    return _prints(rows, keys, [(F.col("text"), (0,))], samples).select(*keys, F.lower(F.hex("print0")).alias("fingerprint"))
 
 
 def likeness(a: str | Column, b: str | Column, samples: int = SAMPLES) -> Column:
@@ -68,7 +105,7 @@ def likeness(a: str | Column, b: str | Column, samples: int = SAMPLES) -> Column
 
 
 def successors(ids: DataFrame, order: list[str]) -> DataFrame:
-    """rid, n_chars, next_id, prior_id, prior_chars of rows (rid, n_chars, ...), in the order of the columns ``order``, the last before the first.
+    """rid, doc_id, n_chars, next_id, prior_id, prior_chars of rows (rid, doc_id, n_chars), in the order of the columns ``order``, the last before the first.
 
     The ids alone are sorted by range; neighbours within a partition come from a window over
     it, those across from a table of a row for each partition.  The partition of an id is
@@ -84,7 +121,7 @@ def successors(ids: DataFrame, order: list[str]) -> DataFrame:
     around = [F.lead("low").over(w), F.first("low").over(whole), F.lag("high").over(w), F.last("high").over(whole)]
     ring = ends.select("part", F.coalesce(*around[:2]).alias("after"), F.coalesce(*around[2:]).alias("before"))
     out = inner.join(F.broadcast(ring), "part")
-    return out.select("rid", "n_chars", F.coalesce("next_id", "after").alias("next_id"), F.coalesce("prior_id", "before.rid").alias("prior_id"), F.coalesce("prior_chars", "before.n_chars").alias("prior_chars"))
+    return out.select("rid", "doc_id", "n_chars", F.coalesce("next_id", "after").alias("next_id"), F.coalesce("prior_id", "before.rid").alias("prior_id"), F.coalesce("prior_chars", "before.n_chars").alias("prior_chars"))
 
 
 def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
@@ -101,18 +138,19 @@ def with_edits(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
     ids = durable(docs.select("doc_id", F.length("text").cast("long").alias("n_chars")))
     rows = ids.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids")).first()
     if rows.n == rows.ids:
-        docs, ids, order = docs.withColumn("rid", F.col("doc_id")), ids.withColumn("rid", F.col("doc_id")), ["doc_id"]
+        texts, ids, order = docs.select(F.col("doc_id").alias("rid"), "text"), ids.withColumn("rid", F.col("doc_id")), ["doc_id"]
     else:
         docs = durable(docs.withColumn("rid", F.monotonically_increasing_id()))
-        ids, order = docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "rid", F.sha2("text", 256).alias("sha")), ["doc_id", "sha", "rid"]
+        texts, ids, order = docs.select("rid", "text"), docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), "rid", F.sha2("text", 256).alias("sha")), ["doc_id", "sha", "rid"]
     order = durable(successors(ids, order))
-    heads = docs.join(order, "rid").select(F.col("prior_id").alias("rid"), F.expr("substring(text, 1, int(prior_chars div 4))").alias("head"))
-    both = docs.join(heads, "rid").withColumn("n", F.length("text"))
-    edited = F.concat(F.expr("substring(text, 1, int(n - n div 4))"), F.col("head"))
-    kinds = F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text"), F.lit(None).cast("binary").alias("sha")), F.struct(F.lit(1).alias("kind"), edited.alias("text"), F.unhex(F.sha2(edited.cast("binary"), 256)).alias("sha")))
-    texts = both.select("rid", "doc_id", F.explode(kinds).alias("x")).select("rid", "doc_id", "x.kind", "x.sha", "x.text")
-    prints = fingerprint(texts, ["rid", "doc_id", "kind", "sha"], samples)
-    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
-    prints = durable(prints.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), of(0, "fingerprint").alias("fingerprint"), of(1, "fingerprint").alias("edited_fingerprint"), of(1, "sha").alias("sha")))
-    out = prints.join(order.select("rid", "n_chars", "next_id"), "rid").join(prints.select(F.col("rid").alias("next_id"), F.col("fingerprint").alias("next")), "next_id")
+    # Both joins take the same columns of texts, so that the texts are shuffled once.
+    heads = texts.join(order, "rid").select(F.col("prior_id").alias("rid"), F.expr("substring(text, 1, int(prior_chars div 4))").alias("head"))
+    both = texts.join(heads, "rid").withColumn("kept", F.expr("substring(text, 1, int(length(text) - length(text) div 4))"))
+    both = both.withColumn("shared", F.regexp_extract("kept", SHARED, 0))  # up to the last gap; a word may go on beyond the cut
+    own, other = F.expr("substring(text, length(shared) + 1)"), F.concat(F.expr("substring(kept, length(shared) + 1)"), "head")
+    both = both.select("rid", F.unhex(F.sha2(F.concat("kept", "head").cast("binary"), 256)).alias("sha"), "shared", own.alias("own"), other.alias("other"))
+    pieces = [(F.col("shared"), (0, 1)), (F.col("own"), (0,)), (F.col("other"), (1,))]
+    prints = durable(_prints(both, ["rid", "sha"], pieces, samples))
+    out = prints.join(order.select("rid", "doc_id", "n_chars", "next_id"), "rid").join(prints.select(F.col("rid").alias("next_id"), F.col("print0").alias("print2")), "next_id")
+    out = out.select("doc_id", "n_chars", "sha", *(F.lower(F.hex(f"print{k}")).alias(c) for k, c in enumerate(("fingerprint", "edited_fingerprint", "next"))))
     return out.select("doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"), "fingerprint", "edited_fingerprint", likeness("fingerprint", "edited_fingerprint", samples).alias("near_edited"), likeness("fingerprint", "next", samples).alias("near_next"))

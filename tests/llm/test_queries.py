@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from sphaera.llm import fingerprints, licenses, neardup, packing, quality, queries, rules, secrets, tokens, unigram, warc
 from tokenizers import Tokenizer
 
@@ -798,3 +799,16 @@ def test_ids_of_words_are_those_of_the_library():
     letters = [c for k in range(33, 0x260) if (c := chr(k)).isalpha()] + list("̧́Σẞ")
     words = ["İ.", "xİ,", "Çé.", "ªº", *("".join(rng.choices(letters, k=rng.randint(1, 8))) + rng.choice(["", ",", "."]) for _ in range(3000))]
     assert ids.by_words and list(ids._learn(words)) == list(ids._encoded(words))
+
+
+def test_both_fingerprints_are_those_of_their_texts(spark):
+    """A text and its edited text are counted together, cut within words or at their ends, words repeated; each has the fingerprint it has alone."""
+    texts = ["a b c d e f g h a b", "", "one", "long words are cut somewhere within", " \t gap first and last \n", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaa bb", "x x x x x x x x", "déjà vu déjà vu 😀 😀😀"]
+    edited = [t[: len(t) - len(t) // 4] + texts[(k + 1) % len(texts)][: len(t) // 4] for k, t in enumerate(texts)]
+    got = sorted(fingerprints.with_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect(), key=lambda r: r.doc_id)
+    alone = spark.createDataFrame(list(enumerate(texts + edited)), "i long, text string")
+    want = [r.fingerprint for r in sorted(fingerprints.fingerprint(alone, ["i"]).collect(), key=lambda r: r.i)]
+    assert [r.fingerprint for r in got] + [r.edited_fingerprint for r in got] == want
+    pieces = [(F.lit("a b a "), (0, 1)), (F.lit("b c"), (0,)), (F.lit("a d"), (1,))]
+    rows = fingerprints._weights(spark.range(1), ["id"], pieces).collect()  # a, b, c and d once, not once a side
+    assert sorted((round(np.exp(r.ln_w0)) if r.ln_w0 is not None else 0, round(np.exp(r.ln_w1)) if r.ln_w1 is not None else 0) for r in rows) == [(0, 1), (1, 0), (2, 1), (2, 3)]
